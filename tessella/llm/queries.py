@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import canonical, format_copies, leakage, mixing, splitting
+from tessella.llm import canonical, format_copies, leakage, mixing, splitting, survivors
 from tessella.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.suppliers(table(spark, d, "papers"), table(spark, d, "archives"))
+
+
+def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.survivors(table(spark, d, "papers"), table(spark, d, "archives"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversize_paragraphs(splitting.split_items(table(spark, d, "chunks"), table(spark, d, "chunk_limits")))
 
