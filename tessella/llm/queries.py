@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import canonical, format_copies, history, leakage, mixing, splitting, survivors
+from tessella.llm import canonical, format_copies, history, leakage, matching, mixing, splitting, survivors
 from tessella.sources.tables import table
 
 
@@ -19,6 +19,14 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "papers"), table(spark, d, "archives"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_works(table(spark, d, "papers"), table(spark, d, "shelf_papers")).select("paper_id", "shelf_id")
+
+
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_works(table(spark, d, "papers"), table(spark, d, "shelf_papers"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     index = history.build_index(table(spark, d, "seen_papers"))
     return history.check_batch(index, table(spark, d, "incoming_papers"), append=False)
