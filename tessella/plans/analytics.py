@@ -231,7 +231,7 @@ SQL = {
         g as (select o.entity, overall, list(coalesce(r, n) * 2 + 1) as c from o, n, (select distinct category from re where category <> 'base') k left join c on c.entity = o.entity and c.category = k.category group by 1, 2),
         v as (select entity, list_concat(list_sort(list_concat([overall], c)), [overall]) as vector from g) select entity, row_number() over (order by vector, entity) as place, array_to_string(vector, ',') as vector from v""",
     "covered_by": f"""with {_RES}, p as (select a.entity as a, b.entity as b, count(*) as shared, bool_or(a.score = 1 and b.score <> 1) as fails, bool_or(a.score <> 1 and b.score = 1) as better, bool_or(a.score > b.score) as lower, bool_or(a.score = 1 and greatest(1.0, a.duration) * 1.5 < b.duration) as slow from re a join re b on a.test = b.test and a.entity <> b.entity group by 1, 2),
-        n as (select entity, count(*) as n from re group by 1), g as (select a, min(b) as by from p join n on a = entity where shared = n and not fails and (better or not lower) and not slow group by a) select entity, coalesce(by, '') as by from n left join g on a = entity""",
+        n as (select entity, count(*) as n from re group by 1), g as (select a, min(b) as who from p join n on a = entity where shared = n and not fails and (better or not lower) and not slow group by a) select entity, coalesce(who, '') as "by" from n left join g on a = entity""",
     "nearest_bucket": "with q(n, quant, bits) as (values " + ", ".join(f"({n}, '{q}', {b}::double)" for n, (q, _, b) in enumerate(S.QUANT_FORMATS)) + ") select p_partkey, quant from (select p_partkey, quant, row_number() over (partition by p_partkey order by abs((p_retailprice / 1000 * p_size) % 20 - bits), n) as r from part, q) where r = 1",
     "memory_estimate": "select p_partkey, round((greatest(p_retailprice * 1e6, case when p_size % 3 > 0 then p_partkey * 1e6 * 4.5 / 8 end) + case when p_size % 4 > 0 then 4 * (p_size % 4) * 8 * 128 * least(32768, p_size * 1024) else 0 end) / 1073741824, 6) as gib from part",
 }
