@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.chunking import chunk_batch
-from tessella.session import scratch_path
+from tessella.session import durable, scratch_path
 
 DOI, WHO, TITLE = 0, 1, 2
 REACH = {DOI: 16, WHO: 12, TITLE: 8}
@@ -171,15 +171,15 @@ def matches(probe: DataFrame, probe_chunks: DataFrame, papers: DataFrame, chunks
     two_dois = F.col("doi_a").isNotNull() & F.col("doi_b").isNotNull()
     whole = F.col("whole_a") & F.col("whole_b")
     clash = lambda c: F.coalesce(F.col(f"{c}_a") != F.col(f"{c}_b"), F.lit(False))
-    judged = pairs.withColumn("alike", likeness(F.col("title_a"), F.col("title_b"))).withColumn(
+    judged = durable(pairs.withColumn("alike", likeness(F.col("title_a"), F.col("title_b"))).withColumn(
         "sure",
         F.when(two_dois, F.col("doi_a") == F.col("doi_b")).when(whole, (F.col("names_a") == F.col("names_b")) & (F.col("day_a") == F.col("day_b")) & F.coalesce(F.col("alike") >= LIKE, F.lit(True)) & same_part(F.col("part_a"), F.col("part_b"))),
-    )
+    ).where("coalesce(sure, true)"), "pairs")
     sure = judged.where("sure")
     guess = judged.where(F.col("sure").isNull() & (F.col("alike") >= NEARLY_EQUAL) & ~clash("names") & ~clash("day") & ~clash("part"))
     bare_side = F.when(~F.col("whole_a") & F.col("doi_a").isNull(), F.struct(F.lit("a").alias("side"), F.col("paper_a").alias("paper"))).otherwise(F.struct(F.lit("b").alias("side"), F.col("paper_b").alias("paper")))
     best = guess.withColumn("bare", bare_side).withColumn("place", F.rank().over(Window.partitionBy("bare").orderBy(F.col("alike").desc()))).where("place = 1").withColumn("fits", F.count("*").over(Window.partitionBy("bare"))).where("fits = 1")
-    return sure.select("paper_a", "paper_b").unionByName(best.select("paper_a", "paper_b"))
+    return durable(sure.select("paper_a", "paper_b").unionByName(best.select("paper_a", "paper_b")), "edges")
 
 
 def _roots(papers: DataFrame, edges: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def check_batch(index: Index, batch: DataFrame, append: bool = True) -> DataFram
     old = matches(papers, chunks, known, index.chunks).join(known.select(F.col("paper").alias("paper_b"), F.col("root")), "paper_b").groupBy("paper_a").agg(F.min("root").alias("old"))
     lone = papers.where("doi is null")
     inner = _roots(papers, matches(lone, chunks.join(lone.select("paper"), "paper", "left_semi"), papers, chunks, within=True))
-    joined = inner.join(old.withColumnRenamed("paper_a", "paper"), "paper", "left")
+    joined = durable(inner.join(old.withColumnRenamed("paper_a", "paper"), "paper", "left"), "joined")
     per_root = joined.groupBy("root").agg(F.min("old").alias("old_of_root"))
     settled = joined.join(per_root, "root").select("paper", F.least(F.coalesce("old", "old_of_root", "root"), F.coalesce("old_of_root", "root")).alias("root"))
     papers.join(settled, "paper").write.parquet(f"{home}/settled")
