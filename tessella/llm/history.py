@@ -105,7 +105,7 @@ def with_key(rows: DataFrame) -> DataFrame:
     key of its own; such records are put together afterwards by their chunks.
     """
     who = F.concat_ws("|", "names", "day")
-    keyed = rows.withColumn(
+    keyed = durable(rows, "evidence").withColumn(
         "key",
         F.when(F.col("doi").isNotNull(), F.concat(F.lit("d"), "doi"))
         .when(F.col("names").isNotNull() & F.col("day").isNotNull(), F.concat(F.lit("w"), who))
