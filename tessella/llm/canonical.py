@@ -86,7 +86,20 @@ def mapping() -> dict[str, str]:
     return out
 
 
-_MARKS = "̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯" + re.escape(INVISIBLE) + "︀-️"
+
+
+def _marks() -> str:
+    """A character class of all combining marks, of the joining letters of syllables, and of what takes no room."""
+    codes = [c for c in range(0x300, 0x1F000) if unicodedata.category(chr(c))[0] == "M" or 0x1160 <= c <= 0x11FF]
+    spans, begin = [], codes[0]
+    for a, b in zip(codes, [*codes[1:], -1]):
+        if b != a + 1:
+            spans.append(f"{chr(begin)}-{chr(a)}")
+            begin = b
+    return "".join(spans) + re.escape(INVISIBLE)
+
+
+_MARKS = _marks()
 _CLUSTER = re.compile(rf"\r\n?|\t|[\x20-\x7e](?=[{_MARKS}])[{_MARKS}]+|[^\x00-\x7f][{_MARKS}]*")
 
 

@@ -68,7 +68,7 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None =
     joined = goals.join(have, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     live = F.when(F.col("available") > 0, F.col("weight")).otherwise(0.0)
     whole = Window.partitionBy(F.lit(0))  # over the targets, one row per source
-    scaled = joined.withColumn("share", live / F.sum(live).over(whole))
+    scaled = joined.withColumn("share", F.try_divide(live, F.sum(live).over(whole)))
     reach = F.min(F.when(F.col("share") > 0, F.col("max_repeats") * F.col("available") / F.col("share"))).over(whole)
     total = F.lit(float(total_tokens)) if total_tokens else reach
     return scaled.withColumn("total", total).withColumn("expected", F.when(F.col("share") > 0, F.least(F.col("max_repeats").cast("double"), F.col("share") * F.col("total") / F.col("available"))).otherwise(0.0))
@@ -91,6 +91,6 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: f
     report = plan.join(given, "source", "left").select(
         "source", F.col("weight").alias("target_share"), F.col("share").alias("scaled_share"), "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.col("available").alias("available_tokens"),
         F.coalesce("used", F.lit(0)).alias("used_documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("given", F.lit(0)).alias("given_tokens"),
-        (F.coalesce("given", F.lit(0)) / F.sum("given").over(Window.partitionBy(F.lit(0)))).alias("actual_share"),
+        F.try_divide(F.coalesce("given", F.lit(0)), F.sum("given").over(Window.partitionBy(F.lit(0)))).alias("actual_share"),
     )
     return chosen, report

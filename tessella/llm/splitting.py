@@ -97,17 +97,18 @@ def split_bytes(data: np.ndarray, limit: int, overlap: int, paragraph_starts: li
     if n <= limit:
         return [(0, 0, n)]
     overlap = max(0, min(overlap, limit // 2))
-    slack = min(48, overlap)  # room for moving the overlap's begin back to a boundary
-    most = max(8, limit - overlap - slack)
+    slack = min(48, overlap, max(0, limit - overlap - 4))  # room for moving the overlap's begin back to a boundary
+    most = max(4, limit - overlap - slack)
     least, every = max(4, most // 3), max(2, most // 4)
     kinds, marks, out, core = boundaries(data, paragraph_starts), landmarks(data, every), [], 0
     while True:
         begin = core
         if core and overlap:
-            want = core - overlap
+            want = max(0, core - overlap)
             begin = _nearest(kinds[:4], want, max(0, want - slack), want)
             if begin is None:
-                begin = int(kinds[4][np.searchsorted(kinds[4], want, side="right") - 1])
+                at = int(np.searchsorted(kinds[4], want, side="right")) - 1
+                begin = int(kinds[4][at] if want - kinds[4][at] <= slack else kinds[4][at + 1])
         if n - begin <= limit:
             out.append((begin, core, n))
             return out

@@ -117,8 +117,8 @@ def test_other_numbers_are_caught_if_consistent(spark):
     mixed = "a tank holds 90 kg and loses 8 litres per hour so after 7 hours it holds 25 litres"
     docs = spark.createDataFrame([(1, same), (2, mixed), (3, item)], "doc_id bigint, text string")
     got = {r["doc_id"]: (r["exact_windows"], r["template_windows"]) for r in leakage.leaks(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string"), width=15).collect()}
-    assert got[3] == (4, 0) and got[1][0] == 0 and got[1][1] == 4
-    assert 2 not in got or got[2][1] < 4
+    assert got[3] == (5, 0) and got[1][0] == 0 and got[1][1] == 5
+    assert 2 not in got or got[2][1] < 5
 
 
 @settings(max_examples=200, deadline=None)
