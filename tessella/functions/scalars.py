@@ -140,7 +140,7 @@ def braces(text: Column) -> Column:
 def strip_fence(text: Column) -> Column:
     """The body of the first fenced block, the trimmed text if it has none."""
     body = F.regexp_extract(text, r"(?s)```[^\n]*\n(.*?)```", 1)
-    return F.when(text.contains("```"), F.trim(body)).otherwise(F.trim(text))
+    return F.regexp_replace(F.when(text.contains("```"), body).otherwise(text), r"^\s+|\s+$", "")
 
 
 def middle_out(text: Column, limit: int) -> Column:

@@ -229,7 +229,7 @@ SQL = {
     "fence": f"select p_partkey, repeat('`', cast(greatest(3, coalesce(list_max(list_transform(regexp_extract_all({_TICKS}, '`+'), lambda x: length(x))), 0) + 1) as int)) as fence from part",
     "strip_reasoning": f"select p_partkey, trim(string_split({_REASON}, '</think>')[-1]) as answer from part",
     "json_braces": f"select p_partkey, nullif(f, '') as found, case when f <> '' then json_extract_string(f, '$.a.b') end as b from (select p_partkey, regexp_extract({_BRACE}, '(?s)\\{{.*\\}}') as f from part)",
-    "strip_fence": f"select p_partkey, case when contains(t, '```') then trim(regexp_extract(t, '(?s)```[^\\n]*\\n(.*?)```', 1)) else trim(t) end as body from (select p_partkey, {_FENCE} as t from part)",
+    "strip_fence": f"select p_partkey, regexp_replace(case when contains(t, '```') then regexp_extract(t, '(?s)```[^\\n]*\\n(.*?)```', 1) else t end, '^\\s+|\\s+$', '', 'g') as body from (select p_partkey, {_FENCE} as t from part)",
     "truncate_middle": "select doc_id, case when length(text) > 600 then left(text, 300) || chr(10) || '...' || chr(10) || right(text, 300) else text end as short from documents",
     "content_hash": "select doc_id, sha256(text) as sha256, md5(text) as md5 from documents",
     "chunk_ids": "select item_no, left(sha256(concat_ws(':', file_sha, cast(byte_offset as varchar), text)), 32) as content_id from chunks",
