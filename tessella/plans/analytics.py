@@ -185,7 +185,7 @@ _CLS = f"""{_IDX}, k as (select path, max(sha) filter (active) as old_sha, list(
 _FACTS = "fa as (select l_orderkey as file, l_linenumber as line, greatest(0, cast(l_quantity as int) - 25) as hits, case when cast(l_quantity as int) % 4 = 0 then cast(l_quantity as int) % 3 end as br_taken, case when cast(l_quantity as int) % 4 = 0 then 2 end as br_total, l_suppkey % 3 as ord from lineitem)"
 _MERGED = f"""{_FACTS}, fn as (select *, max(ord) over (partition by file) as newest, coalesce(br_taken > 0 and br_taken < br_total, false) as p from fa),
     me as (select file, line, max(hits) as hits, case when not bool_or(ord < newest and not p) then max(br_taken) filter (p and ord = newest) end as br_taken, case when not bool_or(ord < newest and not p) then max(br_total) filter (p and ord = newest) end as br_total from fn group by file, line)"""
-_REPORT = "count(*) as total, count(*) filter (hits <= 0) as miss, count(br_taken) as partial, coalesce(sum(br_taken), 0) as taken, coalesce(sum(br_total), 0) as possible"
+_REPORT = "count(*) as total, count(*) filter (hits <= 0) as miss, count(br_taken) as partial, cast(coalesce(sum(br_taken), 0) as bigint) as taken, cast(coalesce(sum(br_total), 0) as bigint) as possible"
 _PERCENT = "case when raw = 100 and (miss > 0 or partial > 0) then 99 when raw = 0 and miss <> total then 1 else raw end as percent"
 _RAW = "cast(floor(100.0::double * (total - miss - partial + coalesce((partial * taken)::double / nullif(possible, 0), 0)) / total) as int) as raw"
 _SCORE = """round(0.35 * coalesce(relevance_score, 0) + 0.20 * case when citation_count > 0 then least(1.0, ln(1 + citation_count) / ln(1001)) else 0 end + 0.25 * case when is_open_access then 1.0 else 0.2 end + 0.15 * case when is_peer_reviewed then 1.0 when source in ('arxiv', 'biorxiv', 'medrxiv', 'chemrxiv') then 0.5 else 0 end
@@ -194,7 +194,7 @@ _RES = """r0 as (select p_brand as entity, p_type as test, count(*) filter (p_si
     re as (select entity, test, case when test < 'F' then 'base' when test < 'Q' then 'light' else 'heavy' end as category, case when hits >= needed then 1.0::double else round(hits::double / needed, 6) end as score, duration from r0)"""
 _STATS = "count(*) filter (score = 1) as passed, round(sum(case when score = 1 then duration else 0 end), 6) as ptime, round(sum(score), 6) as points, round(sum(duration), 6) as time"
 SQL = {
-    "bm25_stats": f"with {_POST} select term, count(*) as df, sum(tf) as cf from tf group by term",
+    "bm25_stats": f"with {_POST} select term, count(*) as df, cast(sum(tf) as bigint) as cf from tf group by term",
     "bm25_search": f"with {_BM25} select doc, round(score, 6) as score from bm",
     "knn": f"with {_KNN} select id, round(distance, 6) as distance, rank from (select *, row_number() over (order by distance, id) as rank from kn) where rank <= 10",
     "adaptive_k": f"""with {_KNN}, s as (select label, list_sort(list(distance))[1:10] as d from kn group by label), t as (select label, d, len(d) as n, d[-1] - d[1] as spread from s)

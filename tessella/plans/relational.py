@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import scalars as S
 from tessella.operators import groups as G
 from tessella.operators import joins as J
 from tessella.sources.tables import table
@@ -147,7 +148,7 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
 
 def alias_by_hash(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "chunks").select("chunk_id", "item_no", "rel_path")
-    return rows.groupBy("chunk_id").agg(F.array_sort(F.collect_set("rel_path")).alias("names"), F.min_by("rel_path", "item_no").alias("first_path"), F.count("*").alias("n"))
+    return rows.groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_set("rel_path")), "|").alias("names"), F.min_by("rel_path", "item_no").alias("first_path"), F.count("*").alias("n"))
 
 
 def best_variant(spark: SparkSession, d: str) -> DataFrame:
@@ -312,6 +313,36 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "papers").select("paper_id", F.posexplode(F.regexp_extract_all(page, F.lit('href="([^"]*)"'))).alias("pos", "link"))
 
 
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    size = F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("<i>"), F.col("p_size").cast("string"), F.lit(".5K</i>"))).otherwise("")
+    page = F.concat(F.lit('<li class="m"><a href="/'), "p_brand", F.lit('"><h2>'), "p_name", F.lit("</h2></a>"), size, F.lit('</li><li class="m"><h2>'), "p_type", F.lit("</h2></li>"))
+    blocks = table(spark, d, "part").select("p_partkey", F.posexplode(F.regexp_extract_all(page, F.lit(r'<li class="m">(.*?)</li>'))).alias("pos", "block"))
+    got = lambda p: F.nullif(F.regexp_extract("block", p, 1), F.lit(""))
+    return blocks.select("p_partkey", "pos", got("<h2>([^<]*)</h2>").alias("name"), got('href="([^"]*)"').alias("link"), S.count_strict(F.coalesce(got("<i>([^<]*)</i>"), F.lit(""))).alias("pulls"))
+
+
+def html_tag_table(spark: SparkSession, d: str) -> DataFrame:
+    page = F.concat(F.lit('<a href="/m:'), "p_name", F.lit('"></a> '), F.col("p_size").cast("string"), F.lit("GB 128K abc"), F.lpad((F.col("p_size") % 7).cast("string"), 9, "0"))
+    tag, size = F.regexp_extract(page, 'href="/m:([^"]*)"', 1), F.regexp_extract(page, r"(\d+(?:\.\d+)?[MGT]B)", 1)
+    rows = table(spark, d, "part").select(tag.alias("tag"), S.size_in_gb(size).alias("gb"), S.context_length(F.regexp_extract(page, r" (\d+[KM]) ", 1)).alias("context"), F.regexp_extract(page, r"\b([0-9a-f]{12})\b", 1).alias("hash"))
+    return rows.groupBy("hash").agg(F.max("gb").alias("gb"), F.max("context").alias("context"), F.array_join(F.array_sort(F.collect_set("tag")), "|").alias("tags"))
+
+
+def pending_tests(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    wanted = part.where("p_size < 30").select("p_partkey").union(part.where("p_type = 'PROMO'").select("p_partkey")).distinct()
+    done = table(spark, d, "lineitem").where("l_quantity > 30 and l_shipdate >= timestamp_ntz'1998-01-01 00:00:00'").select(F.col("l_partkey").alias("p_partkey"))
+    return wanted.join(part.where("p_brand = 'Brand#1'").select("p_partkey"), "p_partkey", "left_anti").join(done, "p_partkey", "left_anti")
+
+
+def asof_release(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("package"), F.col("l_linenumber").alias("major"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at"))
+    newest = rows.groupBy("package").agg(F.max("major").alias("installed"))
+    lower = rows.join(newest, "package").where("major < installed")
+    anchor = F.lit(883612800000000)
+    return J.asof_nearest(lower, "package", F.col("at"), anchor, "id").select("package", "installed", "major", "id")
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and k[0] != "_"}
 
 _E = "e as (select *, epoch_us(ts) / 1e6 as s from events)"
@@ -321,7 +352,7 @@ SQL = {
     "unreferenced": "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 45)",
     "path_set_algebra": "(select rel_path from chunks where rel_path like '%.py' union select rel_path from chunks where rel_path like 'b%') except select rel_path from chunks where rel_path like '%logs%'",
     "exact_dups": "select doc_id as id, keeper, n_chars from (select *, min(doc_id) over (partition by n_chars, text) as keeper from documents where n_chars > 0) where doc_id <> keeper",
-    "dup_savings": "select count(*) as copies, coalesce(sum(n_chars), 0) as saved, count(distinct keeper) as keepers from (select *, min(doc_id) over (partition by n_chars, text) as keeper from documents where n_chars > 0) where doc_id <> keeper",
+    "dup_savings": "select count(*) as copies, cast(coalesce(sum(n_chars), 0) as bigint) as saved, count(distinct keeper) as keepers from (select *, min(doc_id) over (partition by n_chars, text) as keeper from documents where n_chars > 0) where doc_id <> keeper",
     "interval_overlap": f"with {_E} select a.user_id, a.event_id as a_id, b.event_id as b_id from e a join e b on a.user_id = b.user_id and a.event_type = 'view' and b.event_type = 'error' and a.s + 3600 > b.s and a.s < b.s + 1800",
     "point_in_interval": f"""with {_E}, i as (select user_id, event_id as i_id, s as i_start, coalesce(lead(s) over (partition by user_id order by s, event_id), s + 3600) as i_end from e where event_type = 'signup'),
         l as (select user_id, arg_max(i_id, i_start) as last_id from i group by 1)
@@ -347,14 +378,14 @@ SQL = {
     "constrained_candidates": "select p_partkey, round(burden, 3) as burden from (select p_partkey, case when p_size % 9 > 0 then p_size * 1.5::double end as burden from part) where burden between 10 and 60",
     "capability_flags": "select paper_id, coalesce(len(list_filter(authors, lambda x: ends_with(x, 'son'))) > 0, false) as any_son, coalesce(len(list_filter(authors, lambda x: ends_with(x, 'berg'))) > 0, false) as any_berg, coalesce(len(list_filter(authors, lambda x: not contains(x, ','))) = 0, false) as all_comma from papers",
     "dedupe_first": "select title, paper_id, source from (select *, row_number() over (partition by title order by paper_id) as r from papers where citation_count >= 5) where r = 1",
-    "alias_by_hash": "select chunk_id, list_sort(list_distinct(list(rel_path))) as names, arg_min(rel_path, item_no) as first_path, count(*) as n from chunks group by 1",
+    "alias_by_hash": "select chunk_id, array_to_string(list_sort(list_distinct(list(rel_path))), '|') as names, arg_min(rel_path, item_no) as first_path, count(*) as n from chunks group by 1",
     "best_variant": "select p_brand, p_type, p_partkey, p_size from (select *, row_number() over (partition by p_brand, p_type order by p_size desc, p_partkey) as r from part) where r = 1",
     "best_per_bucket": "select p_brand, bucket, p_partkey from (select *, row_number() over (partition by p_brand, bucket order by p_retailprice desc, p_partkey) as r from (select *, cast(round_even(p_size / 4, 0) as int) as bucket from part)) where r = 1",
-    "multipart_sum": "select p_name as base, sum(p_size) as size, count(*) as parts from part group by 1",
-    "prefix_rollup": "select string_split(path, '/')[1] as prefix, sum(size) as bytes, count(*) as files from (select replace(rel_path, chr(92), '/') as path, max(file_size) as size from chunks group by 1) group by 1",
+    "multipart_sum": "select p_name as base, cast(sum(p_size) as bigint) as size, count(*) as parts from part group by 1",
+    "prefix_rollup": "select string_split(path, '/')[1] as prefix, cast(sum(size) as bigint) as bytes, count(*) as files from (select replace(rel_path, chr(92), '/') as path, max(file_size) as size from chunks group by 1) group by 1",
     "session_summary": "select user_id, count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'purchase') as purchase, count(*) filter (event_type = 'view') as view, round(sum(value), 4) as total, max(value) as most from events group by 1",
     "session_texts": "select user_id, string_agg(event_type, ',' order by o) as kinds from (select user_id, event_type, min(event_id) as o from events group by 1, 2) group by 1",
-    "usage_sum": "select user_id, sum(case when event_id % 97 > 0 then event_id % 10 else 0 end) as tokens, case when count(*) filter (event_id % 97 = 0) = 0 then sum(event_id % 10) end as strict from events group by 1",
+    "usage_sum": "select user_id, cast(sum(case when event_id % 97 > 0 then event_id % 10 else 0 end) as bigint) as tokens, case when count(*) filter (event_id % 97 = 0) = 0 then cast(sum(event_id % 10) as bigint) end as strict from events group by 1",
     "group_outputs": "select p_type, p_name as output, string_agg(cast(p_partkey as varchar), ',' order by p_size, p_partkey) as members, min(p_size) as fastest from part where p_size > 40 group by 1, 2",
     "pass_score": "select doc_id, cast(regexp_matches(text, '\\bmerging\\b|fusion') as int) + cast(regexp_matches(text, '\\d+ percent') as int) + cast(not contains(text, '```') as int) + cast(not regexp_matches(text, '(?i)erratum') as int) + cast(not regexp_matches(text, '[\\x{1F300}-\\x{1F9FF}\\x{2190}-\\x{21FF}\\x{2500}-\\x{257F}]') as int) as hits, 5 as needed from documents where text is not null",
     "best_attempt": "select l_orderkey, count(*) filter (l_quantity % 5 = 4) > 0 as passed, cast(max(l_quantity % 5) as int) as hits, min(l_linenumber) filter (l_quantity % 5 = 4) as attempt from lineitem group by 1",
@@ -380,4 +411,10 @@ SQL = {
     "incremental_pending": "with i as (select rel_path, max(file_mtime) as a from chunks where active group by 1), o as (select rel_path, max(file_mtime) as b from chunks where not active group by 1) select i.rel_path from i left join o on i.rel_path = o.rel_path where b is null or b <= a",
     "summary_pivot": "select o_orderpriority, nullif(count(*) filter (o_orderstatus = 'F'), 0) as F, nullif(count(*) filter (o_orderstatus = 'O'), 0) as O, nullif(count(*) filter (o_orderstatus = 'P'), 0) as P from orders group by 1",
     "html_links": "select paper_id, 0 as pos, coalesce(url, '/none') as link from papers union all select paper_id, 1, '/s/' || source from papers",
+    "html_blocks": """select p_partkey, 0 as pos, p_name as name, '/' || p_brand as link, case when p_size % 3 > 0 then cast(floor((p_size + 0.5) * 1000) as bigint) end as pulls from part
+        union all select p_partkey, 1, p_type, null, null from part""",
+    "html_tag_table": "select 'abc' || lpad(cast(p_size % 7 as varchar), 9, '0') as hash, max(p_size::double) as gb, cast(131072 as bigint) as context, array_to_string(list_sort(list_distinct(list(p_name))), '|') as tags from part group by 1",
+    "pending_tests": "select p_partkey from part where (p_size < 30 or p_type = 'PROMO') and p_brand <> 'Brand#1' and p_partkey not in (select l_partkey from lineitem where l_quantity > 30 and l_shipdate >= timestamp '1998-01-01')",
+    "asof_release": """with r as (select l_partkey as package, l_linenumber as major, l_orderkey * 100 + l_linenumber as id, epoch_us(l_shipdate) as t, max(l_linenumber) over (partition by l_partkey) as installed from lineitem)
+        select package, installed, major, id from (select *, row_number() over (partition by package order by abs(t - 883612800000000), id) as n from r where major < installed) where n = 1""",
 }

@@ -112,7 +112,7 @@ def path_component_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def map_filter_prefix(spark: SparkSession, d: str) -> DataFrame:
     kept = F.map_filter("extra", lambda k, v: ~k.startswith("r"))
-    return table(spark, d, "papers").where("extra is not null").select("paper_id", F.array_sort(F.map_keys(kept)).alias("kept"), F.size(kept).alias("n"))
+    return table(spark, d, "papers").where("extra is not null").select("paper_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("kept"), F.size(kept).alias("n"))
 
 
 def map_regex_get(spark: SparkSession, d: str) -> DataFrame:
@@ -238,9 +238,9 @@ SQL = {
     "regex_filter": "select paper_id, title from papers where regexp_matches(title, '(?i)toolkit for .*(caching|tuning)')",
     "include_exclude": "select item_no, rel_path from chunks where (regexp_matches(rel_path, '\\.(py|md)$') or rel_path = 'acoustics/releases/coverage_00029.log') and not regexp_matches(rel_path, '(^|/)logs?/')",
     "path_component_filter": "select item_no, rel_path from chunks where len(list_filter(string_split(replace(rel_path, chr(92), '/'), '/'), lambda p: regexp_matches(p, '^(tables|logs.*|.*_0000[0-9].*)$'))) = 0",
-    "map_filter_prefix": "select paper_id, list_sort(list_filter(map_keys(extra), lambda k: not starts_with(k, 'r'))) as kept, len(list_filter(map_keys(extra), lambda k: not starts_with(k, 'r'))) as n from papers where extra is not null",
+    "map_filter_prefix": "select paper_id, array_to_string(list_sort(list_filter(map_keys(extra), lambda k: not starts_with(k, 'r'))), ',') as kept, len(list_filter(map_keys(extra), lambda k: not starts_with(k, 'r'))) as n from papers where extra is not null",
     "map_regex_get": "select paper_id, try_cast(list_filter(map_entries(extra), lambda e: regexp_full_match(e.key, 'r[a-z]+') and regexp_full_match(e.value, '[0-9]+'))[1].value as int) as value from papers",
-    "fit_dims": "select p_partkey, floor(w * s) as w, floor(h * s) as h from (select *, least(1.0, 1024.0::double / greatest(w, h)) as s from (select p_partkey, p_partkey % 3000 + 1 as w, p_size * 40 + 1 as h from part))",
+    "fit_dims": "select p_partkey, cast(floor(w * s) as bigint) as w, cast(floor(h * s) as bigint) as h from (select *, least(1.0, 1024.0::double / greatest(w, h)) as s from (select p_partkey, p_partkey % 3000 + 1 as w, p_size * 40 + 1 as h from part))",
     "clamp_box": "select p_partkey, case when r > l then l end as left, case when r > l then r end as right from (select p_partkey, greatest(0, p_size * 3 - 4) as l, least(100, p_size * 3 + p_partkey % 9 + 4) as r from part)",
     "grid_position": "select event_id, event_id // 7 as row, event_id % 7 as col from events",
     "mount_parse": """select p_partkey, regexp_extract(t, '^(.*?):(/[^:]*)(?::(ro|rw))?$', 1) as src, regexp_extract(t, '^(.*?):(/[^:]*)(?::(ro|rw))?$', 2) as dst, coalesce(nullif(regexp_extract(t, '^(.*?):(/[^:]*)(?::(ro|rw))?$', 3), ''), 'ro') as mode
