@@ -165,3 +165,18 @@ def test_tokens_match_the_library(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", mixing.count_tokens()(F.col("t")).alias("n"))
     want = [len(mixing._encoding(mixing.TOKENIZER_FILE).encode_ordinary(t)) for t in texts]
     assert [r["n"] for r in df.orderBy("i").collect()] == want
+
+
+def test_blocking_finds_what_all_pairs_would(spark, monkeypatch):
+    """Two bits with two flips put every pair into every table: brute force with the same rerank."""
+    from pathlib import Path
+
+    d = "/root/testdata/sf0.01"
+    if not Path(d).exists():
+        pytest.skip("no test data")
+    p, s = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("papers", "shelf_papers"))
+    got = {(r[0], r[1]) for r in matching.match_works(p, s).select("paper_id", "shelf_id").collect()}
+    monkeypatch.setattr(matching, "SKETCH_DISTANCE", 128)
+    monkeypatch.setattr(matching, "FINE_DISTANCE", 256)
+    want = {(r[0], r[1]) for r in matching.match_works(p, s, bits=2).select("paper_id", "shelf_id").collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
