@@ -100,29 +100,40 @@ def _marks() -> str:
 
 
 _MARKS = _marks()
-_CLUSTER = re.compile(rf"\r\n?|\t|[\x20-\x7e](?=[{_MARKS}])[{_MARKS}]+|[^\x00-\x7f][{_MARKS}]*")
+_CLUSTER = re.compile(rf"\r\n?|\t|[\x20-\x7e][{_MARKS}]*|[^\x00-\x7f][{_MARKS}]*")
+_RUN = re.compile(r"[\x20-\x7e]?[^\x00-\x7f]+|\r\n?|\t")  # clusters that can change, with the letter before them
 
 
 class Transducer:
-    """Cluster -> output, each distinct cluster worked out once."""
+    """Cluster -> output, each distinct cluster worked out once; short runs of clusters are remembered whole."""
 
     def __init__(self) -> None:
         self.single = mapping()
         self.known: dict[str, str] = dict(LINE_BREAKS)
+        self.runs: dict[str, str] = {}
 
     def _cluster(self, match: re.Match) -> str:
         cluster = match.group()
         out = self.known.get(cluster)
         if out is None:
             out = unicodedata.normalize("NFC", "".join(self.single.get(c, c) for c in unicodedata.normalize("NFD", cluster)))
-            if len(self.known) < 1_000_000:
+            if len(self.known) < 200_000:
                 self.known[cluster] = out
         return out
 
+    def _run(self, match: re.Match) -> str:
+        run = match.group()
+        out = self.runs.get(run)
+        if out is None:
+            out = _CLUSTER.sub(self._cluster, run)
+            if len(run) <= 24 and len(self.runs) < 500_000:
+                self.runs[run] = out
+        return out
+
     def __call__(self, text: str) -> str:
         if text.isascii() and "\t" not in text and "\r" not in text:
             return text
-        return _CLUSTER.sub(self._cluster, text)
+        return _RUN.sub(self._run, text)
 
 
 @lru_cache(maxsize=1)
