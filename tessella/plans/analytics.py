@@ -51,6 +51,45 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return R.top(R.fuse(*_ranked(spark, d)), 10, F.desc(F.round("score", 12)), F.col("first")).select("id", "rank")
 
 
+def _asked(spark: SparkSession, d: str, name: str, key: str, value: str, out: str) -> DataFrame:
+    """Every row whose id is divisible by 20, as a query."""
+    return table(spark, d, name).where(F.col(key) % 20 == 0).select(F.col(key).alias("query_id"), F.col(value).alias(out))
+
+
+def _words_each(spark: SparkSession, d: str) -> DataFrame:
+    return R.bm25_each(table(spark, d, "documents"), "doc_id", "text", _asked(spark, d, "documents", "doc_id", "text", "text"), 10)
+
+
+def _near_each(spark: SparkSession, d: str, part: str | None = None) -> DataFrame:
+    return R.nearest_each(table(spark, d, "embeddings"), "vec_id", "embedding", _asked(spark, d, "embeddings", "vec_id", "embedding", "vector"), 10, part)
+
+
+def _fused_each(spark: SparkSession, d: str) -> DataFrame:
+    words = _words_each(spark, d).select("query_id", F.col("doc").alias("id"), "rank")
+    return R.fuse(_near_each(spark, d).select("query_id", "id", "rank"), words, by=("query_id", "id"))
+
+
+def bm25_search_each(spark: SparkSession, d: str) -> DataFrame:
+    return _words_each(spark, d).select("query_id", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+def knn_each(spark: SparkSession, d: str) -> DataFrame:
+    return _near_each(spark, d).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def adaptive_k_each(spark: SparkSession, d: str) -> DataFrame:
+    best = _near_each(spark, d, "label").groupBy("query_id", F.col("part").cast("int").alias("label")).agg(F.array_sort(F.collect_list("distance")).alias("d"))
+    return best.select("query_id", "label", R.adaptive_k(F.col("d"), 2, 10).alias("k"))
+
+
+def rrf_each(spark: SparkSession, d: str) -> DataFrame:
+    return _fused_each(spark, d).select("query_id", "id", F.round("score", 9).alias("score"))
+
+
+def hybrid_search_each(spark: SparkSession, d: str) -> DataFrame:
+    return R.top_each(_fused_each(spark, d), 10, ["query_id"], F.desc(F.round("score", 12)), F.col("first")).select("query_id", "id", "rank")
+
+
 def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("n_chars > 0")
     starts = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), (F.col("n_chars") - 1).cast("int"), F.lit(448))).alias("start"))
@@ -179,6 +218,13 @@ _BM25 = f"""{_POST}, n as (select count(*) as n, avg(length) as mean_length from
 _KNN = "q as (select embedding as v from embeddings where vec_id = 0), kn as (select vec_id as id, label, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::double - v[i]::double) * (embedding[i]::double - v[i]::double))) as distance from embeddings, q where vec_id <> 0)"
 _RRF = f"""{_BM25.replace('q as (select term', 'qq as (select term').replace('join q on df.term = q.term', 'join qq on df.term = qq.term')}, {_KNN}, va as (select id, row_number() over (order by distance, id) as rank from kn), wo as (select doc as id, row_number() over (order by round(score, 9) desc, doc) as rank from bm),
     f as (select id, sum(s) as score, min(first) as first from (select id, 1.0::double / (60 + rank) as s, rank as first from va where rank <= 10 union all select id, 1.0::double / (60 + rank), 1000000 + rank from wo where rank <= 10) group by id)"""
+_BM_EACH = f"""{_POST}, n as (select count(*) as n, avg(length) as mean_length from (select distinct doc, length from tf)), df as (select term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as raw from tf, n group by term, n),
+    w as (select doc, tf.term, (case when raw < 0 then 0.25 * (select avg(raw) from df) else raw end) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length)) as w from tf join df on tf.term = df.term, n),
+    bm as (select q.doc as query_id, w.doc, sum(q.tf * w) as score from tf q join w on q.term = w.term where q.doc % 20 = 0 group by 1, 2 having sum(q.tf * w) > 0), wo as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc) as rank from bm)"""
+_KNN_EACH = """kn as (select q.vec_id as query_id, e.vec_id as id, e.label, list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: (e.embedding[i]::double - q.embedding[i]::double) * (e.embedding[i]::double - q.embedding[i]::double))) as distance
+    from embeddings e, embeddings q where q.vec_id % 20 = 0 and e.vec_id <> q.vec_id), va as (select *, row_number() over (partition by query_id order by distance, id) as rank from kn)"""
+_RRF_EACH = f"""{_BM_EACH}, {_KNN_EACH}, f as (select query_id, id, sum(s) as score, min(first) as first from (select query_id, id, 1.0::double / (60 + rank) as s, rank as first from va where rank <= 10
+    union all select query_id, doc, 1.0::double / (60 + rank), 1000000 + rank from wo where rank <= 10) group by 1, 2)"""
 _IDX = """doc as (select cast(doc_id as varchar) as path, doc_id as i, md5(text) as sha from documents), idx as (select path, case when i % 7 = 0 then 'x' || sha else sha end as sha, true as active from doc where i % 10 <> 0
     union all select path, sha, false from doc where i % 10 <> 0 and i % 7 = 0 and i % 13 < 6), now as (select path, sha from doc where i % 11 <> 0)"""
 _CLS = f"""{_IDX}, k as (select path, max(sha) filter (active) as old_sha, list(sha) as a from idx group by path), c as (select coalesce(k.path, now.path) as path, case when a is null then 'new' when now.sha is null then 'deleted' when now.sha = old_sha then 'unchanged' when list_contains(a, now.sha) then 'reactivate' else 'modified' end as class from k full join now on k.path = now.path)"""
@@ -201,6 +247,12 @@ SQL = {
         select label, cast(case when n < 2 then n when spread < 1e-6 then 10 when (d[2] - d[1]) / spread > 0.5 then 2 else round_even(2.0 + (1 - (d[2] - d[1]) / spread) * 8, 0) end as int) as k from t""",
     "rrf": f"with {_RRF} select id, round(score, 9) as score from f",
     "hybrid_search": f"with {_RRF} select id, rank from (select id, row_number() over (order by round(score, 12) desc, first) as rank from f) where rank <= 10",
+    "bm25_search_each": f"with {_BM_EACH} select query_id, doc, round(score, 6) as score, rank from wo where rank <= 10",
+    "knn_each": f"with {_KNN_EACH} select query_id, id, round(distance, 6) as distance, rank from va where rank <= 10",
+    "adaptive_k_each": f"""with {_KNN_EACH}, s as (select query_id, label, list_sort(list(distance))[1:10] as d from kn group by 1, 2), t as (select query_id, label, d, len(d) as n, d[-1] - d[1] as spread from s)
+        select query_id, label, cast(case when n < 2 then n when spread < 1e-6 then 10 when (d[2] - d[1]) / spread > 0.5 then 2 else round_even(2.0 + (1 - (d[2] - d[1]) / spread) * 8, 0) end as int) as k from t""",
+    "rrf_each": f"with {_RRF_EACH} select query_id, id, round(score, 9) as score from f",
+    "hybrid_search_each": f"with {_RRF_EACH} select query_id, id, rank from (select query_id, id, row_number() over (partition by query_id order by round(score, 12) desc, first) as rank from f) where rank <= 10",
     "chunk_text": "select doc_id, start, md5(substring(text, start + 1, 512)) as digest, strlen(left(text, start)) as byte_offset, length(left(text, start)) - length(replace(left(text, start), chr(10), '')) + 1 as line from (select doc_id, text, cast(unnest(range(0, n_chars, 448)) as int) as start from documents where n_chars > 0)",
     "expand_context": """with c as (select * from chunks where active), s as (select * from c where text like '%retrieval slows%' or text like '%retrieval%lowers%')
         select item_no, file_path, min(kind) as kind from (select item_no, file_path, 0 as kind from s union all select c.item_no, c.file_path, 1 from c join s on c.file_path = s.file_path and abs(c.line_start - s.line_start) <= 20 and abs(c.byte_offset - s.byte_offset) < 4096) group by 1, 2""",
