@@ -88,7 +88,7 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def base64_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", S.data_url(F.substring("text", 1, 40)).alias("url"))
+    return table(spark, d, "documents").select("doc_id", S.data_url(F.col("text")).alias("url"))
 
 
 def cnf_filter(spark: SparkSession, d: str) -> DataFrame:
