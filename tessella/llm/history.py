@@ -155,6 +155,8 @@ def matches(probe: DataFrame, probe_chunks: DataFrame, papers: DataFrame, chunks
     """(paper_a, paper_b): papers of the probe and the papers of the index they are the same as.
 
     ``within``: the probe is the index itself; only papers without DOI are probed and a paper never meets itself.
+    Where papers have a ``root``, a title is ambiguous if several roots carry it, not if several papers of one do, and
+    a bare paper stands for what its whole root knows.
     """
     a = probe_chunks.select(F.col("paper").alias("paper_a"), "field", "chunk", F.col("bytes"), F.col("size").alias("size_a"))
     b = chunks.select(F.col("paper").alias("paper_b"), "field", "chunk", F.col("size").alias("size_b"))
@@ -178,7 +180,17 @@ def matches(probe: DataFrame, probe_chunks: DataFrame, papers: DataFrame, chunks
     sure = judged.where("sure")
     guess = judged.where(F.col("sure").isNull() & (F.col("alike") >= NEARLY_EQUAL) & ~clash("names") & ~clash("day") & ~clash("part"))
     bare_side = F.when(~F.col("whole_a") & F.col("doi_a").isNull(), F.struct(F.lit("a").alias("side"), F.col("paper_a").alias("paper"))).otherwise(F.struct(F.lit("b").alias("side"), F.col("paper_b").alias("paper")))
-    best = guess.withColumn("bare", bare_side).withColumn("place", F.rank().over(Window.partitionBy("bare").orderBy(F.col("alike").desc()))).where("place = 1").withColumn("fits", F.count("*").over(Window.partitionBy("bare"))).where("fits = 1")
+    if "root" in papers.columns:
+        root = papers.select(F.col("paper").alias("paper_b"), F.col("root").alias("root_b"))
+        guess = durable(guess.join(root, "paper_b").join(probe.select(F.col("paper").alias("paper_a"), F.col("root").alias("root_a")), "paper_a"), "guess")
+        told = papers.join(guess.select(F.col("root_b").alias("root")).distinct(), "root", "left_semi").groupBy(F.col("root").alias("root_b"))
+        told = told.agg(*[F.collect_set(c).alias(f"{c}_told") for c in ("doi", "names", "day")])
+        other = lambda c: F.coalesce((F.size(f"{c}_told") > 0) & ~F.array_contains(f"{c}_told", F.col(f"{c}_a")), F.lit(False))
+        guess = guess.join(told, "root_b").where(~other("doi") & ~other("names") & ~other("day"))
+    else:
+        guess = guess.withColumn("root_a", F.col("paper_a")).withColumn("root_b", F.col("paper_b"))
+    work = F.when(F.col("bare.side") == "a", F.col("root_b")).otherwise(F.col("root_a"))
+    best = guess.withColumn("bare", bare_side).withColumn("place", F.rank().over(Window.partitionBy("bare").orderBy(F.col("alike").desc()))).where("place = 1").withColumn("fits", F.size(F.collect_set(work).over(Window.partitionBy("bare")))).where("fits = 1")
     return durable(sure.select("paper_a", "paper_b").unionByName(best.select("paper_a", "paper_b")), "edges")
 
 
@@ -225,7 +237,8 @@ def build_index(history: DataFrame, path: str | None = None) -> Index:
 def check_batch(index: Index, batch: DataFrame, append: bool = True) -> DataFrame:
     """(original_id, record_id): the rows of a batch that repeat a row of the index or an earlier row of the batch.
 
-    Ids of a batch are higher than all accepted ones. With ``append`` the batch's papers and chunks join the index.
+    Ids of a batch are higher than all accepted ones. With ``append`` the batch's papers and their chunks join the index
+    under their roots, but for those whose root has the same evidence already.
     """
     spark = index.spark
     rows = with_key(evidence(batch))
@@ -235,9 +248,9 @@ def check_batch(index: Index, batch: DataFrame, append: bool = True) -> DataFram
     chunk_table(papers).write.parquet(f"{home}/chunks")
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{home}/chunks")
     known = index.papers
-    old = matches(papers, chunks, known, index.chunks).join(known.select(F.col("paper").alias("paper_b"), F.col("root")), "paper_b").groupBy("paper_a").agg(F.min("root").alias("old"))
     lone = papers.where("doi is null")
-    inner = _roots(papers, matches(lone, chunks.join(lone.select("paper"), "paper", "left_semi"), papers, chunks, within=True))
+    inner = durable(_roots(papers, matches(lone, chunks.join(lone.select("paper"), "paper", "left_semi"), papers, chunks, within=True)), "inner")
+    old = matches(papers.join(inner, "paper"), chunks, known, index.chunks).join(known.select(F.col("paper").alias("paper_b"), F.col("root")), "paper_b").groupBy("paper_a").agg(F.min("root").alias("old"))
     joined = durable(inner.join(old.withColumnRenamed("paper_a", "paper"), "paper", "left"), "joined")
     per_root = joined.groupBy("root").agg(F.min("old").alias("old_of_root"))
     settled = joined.join(per_root, "root").select("paper", F.least(F.coalesce("old", "old_of_root", "root"), F.coalesce("old_of_root", "root")).alias("root"))
@@ -245,6 +258,23 @@ def check_batch(index: Index, batch: DataFrame, append: bool = True) -> DataFram
     done = spark.read.parquet(f"{home}/settled")
     found = rows.select("record_id", "key").join(done.select("key", "root"), "key").where("record_id <> root").select(F.col("root").alias("original_id"), "record_id")
     if append:
-        done.write.mode("append").parquet(f"{index.path}/papers")
-        chunks.write.mode("append").parquet(f"{index.path}/chunks")
+        same = F.lit(True)
+        for c in ("root", "doi", "names", "day", "title", "part"):
+            same = same & F.col(f"new.{c}").eqNullSafe(F.col(f"held.{c}"))
+        news = durable(done.alias("new").join(known.alias("held"), same, "left_anti"), "news")
+        news.select(*known.columns).write.mode("append").parquet(f"{index.path}/papers")
+        chunks.join(news.select("paper"), "paper", "left_semi").select(*index.chunks.columns).write.mode("append").parquet(f"{index.path}/chunks")
     return found
+
+
+def check_batches(index: Index, batches: DataFrame, number: str) -> DataFrame:
+    """(original_id, record_id) of batch after batch in the order of ``number``, each against all before it.
+
+    What reaches the driver are the numbers of the batches.
+    """
+    held = durable(batches, "batches")
+    found = None
+    for r in held.select(number).distinct().orderBy(F.col(number).asc_nulls_last()).collect():
+        part = durable(check_batch(index, held.where(F.col(number).eqNullSafe(F.lit(r[0])))), "found")
+        found = part if found is None else found.unionByName(part)
+    return check_batch(index, held, append=False) if found is None else found

@@ -29,7 +29,7 @@ def p3_matches(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     index = history.build_index(table(spark, d, "seen_papers"))
-    return history.check_batch(index, table(spark, d, "incoming_papers"), append=False)
+    return history.check_batches(index, table(spark, d, "incoming_papers"), "batch_no")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -95,6 +95,22 @@ def test_batches_in_turn_find_the_same(spark):
     assert history.check_batch(index, spark.createDataFrame([], SEEN)).count() == 0
 
 
+def test_batches_repeating_a_known_paper_leave_its_title_unambiguous(spark):
+    long = "Weighted hashing of tables with Zofira graphs for rural optics"
+    seen = [_record(1, "doi:10.1234/ab.c1", long, "10.1234/ab.c1", ["Jane Doe"], "2020-01-02"), _record(2, "title:" + "1" * 64, "Nested pooling of quiet maps by Vamoxor trees", None, [], "x", cut=30)]
+    batch = [
+        (1, *_record(101, "title:" + "2" * 64, long, None, ["Doe, J."], "2020-01-02")),
+        (2, *_record(102, "title:" + "3" * 64, long, None, ["Jane Doe"], "2020-01-02", cut=30)),
+        (2, *_record(103, "title:" + "4" * 64, seen[1][2], None, ["Ann Poe"], "2021-05-05")),
+        (3, *_record(104, "title:" + "5" * 64, seen[1][2], None, ["Bob Coe"], "2022-06-06")),
+        (3, *_record(105, "doi:10.1234/ab.c1", long, "10.1234/ab.c1", ["Jane Doe"], "2020-01-02")),
+    ]
+    index = history.build_index(spark.createDataFrame(seen, SEEN))
+    got = [tuple(r) for r in history.check_batches(index, spark.createDataFrame(list(reversed(batch)), "batch_no int, " + SEEN), "batch_no").select("original_id", "record_id").collect()]
+    assert sorted(got) == [(1, 101), (1, 102), (1, 105), (2, 103)]
+    assert 105 not in {r["paper"] for r in index.papers.collect()}
+
+
 def test_empty_history(spark):
     index = history.build_index(spark.createDataFrame([], SEEN))
     rows = spark.createDataFrame([_record(1, "doi:10.1234/a1", "t", None, [], ""), _record(2, "doi:10.1234/a1", "t", None, [], "")], SEEN)
