@@ -78,3 +78,11 @@ def collapse(df: DataFrame, id_col: str, texts: list[str], names: list[str] = ()
     """(kept_id, copies): one row per set of records that differ in formatting only, single records included."""
     compact = compact_records(df, id_col, texts, names)
     return compact.groupBy("key").agg(F.min("id").alias("kept_id"), F.count("*").alias("copies")).select("kept_id", "copies")
+
+
+def keyless(df: DataFrame, id_col: str, texts: list[str]) -> DataFrame:
+    """(kept_id, copies): the records with a null text, which ``collapse`` leaves out; each is a set of its own."""
+    some = F.lit(False)
+    for c in texts:
+        some = some | F.col(c).isNull()
+    return df.where(some).select(F.col(id_col).alias("kept_id"), F.lit(1).cast("bigint").alias("copies"))

@@ -48,9 +48,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    papers = format_copies.collapse(table(spark, d, "papers"), "paper_id", ["title"], ["authors"])
-    seen = format_copies.collapse(table(spark, d, "seen_papers"), "record_id", ["identity"])
-    return papers.withColumn("record_table", F.lit("papers")).unionByName(seen.withColumn("record_table", F.lit("seen_papers"))).select("record_table", "kept_id", "copies")
+    sets = None
+    for name, key, texts, names in (("papers", "paper_id", ["title"], ["authors"]), ("seen_papers", "record_id", ["identity"], [])):
+        rows = table(spark, d, name)
+        part = format_copies.collapse(rows, key, texts, names).unionByName(format_copies.keyless(rows, key, texts)).withColumn("record_table", F.lit(name))
+        sets = part if sets is None else sets.unionByName(part)
+    return sets.select("record_table", "kept_id", "copies")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -85,6 +85,15 @@ def test_format_copies(spark):
     assert format_copies.format_copies(rows.limit(0), "paper_id", ["title"], ["authors"]).count() == 0
 
 
+def test_collapsed_keeps_records_without_a_key(spark, tmp_path):
+    from tessella.llm import queries
+
+    spark.createDataFrame([(1, "On X", None), (2, "on x", []), (3, None, ["Jane Doe"]), (4, None, None)], "paper_id bigint, title string, authors array<string>").write.parquet(str(tmp_path / "papers.parquet"))
+    spark.createDataFrame([(5, "doi:10.1/a"), (6, None)], "record_id bigint, identity string").write.parquet(str(tmp_path / "seen_papers.parquet"))
+    got = {tuple(r) for r in queries.p6_collapsed(spark, str(tmp_path)).collect()}
+    assert got == {("papers", 1, 2), ("papers", 3, 1), ("papers", 4, 1), ("seen_papers", 5, 1), ("seen_papers", 6, 1)}
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(40)] + ["7", "19", "kg", "hours"]
