@@ -81,7 +81,7 @@ WANT = {(1, 101), (4, 102), (104, 105), (1, 106), (1, 107), (103, 109)}
 def test_batch_against_history(spark):
     seen, batch = _history_rows()
     index = history.build_index(spark.createDataFrame(seen, SEEN))
-    assert {r["paper"]: r["root"] for r in index.papers.collect()}[3] == 1
+    assert {r["paper"]: r["root"] for r in index.papers().collect()}[3] == 1
     got = {tuple(r) for r in history.check_batch(index, spark.createDataFrame(batch, SEEN), append=False).select("original_id", "record_id").collect()}
     assert got == WANT
 
@@ -108,7 +108,7 @@ def test_batches_repeating_a_known_paper_leave_its_title_unambiguous(spark):
     index = history.build_index(spark.createDataFrame(seen, SEEN))
     got = [tuple(r) for r in history.check_batches(index, spark.createDataFrame(list(reversed(batch)), "batch_no int, " + SEEN), "batch_no").select("original_id", "record_id").collect()]
     assert sorted(got) == [(1, 101), (1, 102), (1, 105), (2, 103)]
-    assert 105 not in {r["paper"] for r in index.papers.collect()}
+    assert 105 not in {r["paper"] for r in index.papers().collect()}
 
 
 def test_empty_history(spark):
