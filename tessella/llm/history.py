@@ -43,12 +43,13 @@ PAPER_SCHEMA = "paper bigint, doi string, names string, day string, whole boolea
 CHUNK_SCHEMA = "paper bigint, field tinyint, chunk bigint, bytes int, size int, lone boolean, bare boolean, batch string"
 HELD_CHUNKS = "chunk bigint, field tinyint, paper bigint, root bigint, size int, bare boolean"
 CHUNKS_EACH = 1 << 17  # rows of a folder of the chunk table
-BROADCAST_CHUNKS = 500_000  # rows of 20 bytes: a batch of more chunks is joined by shuffle
+SAID = ("doi", "names", "day", "title", "part")
+BROADCAST_ROWS = 200_000  # chunks or pairs of a batch, some 100 bytes each: what has more rows is joined by shuffle
 
 
 def doi_letters(text: Column) -> Column:
     """The letters and digits of a DOI however it is punctuated, or null."""
-    found = F.regexp_extract(F.regexp_replace(F.lower(text), "%2f", "/"), r"(10[^a-z0-9]{1,4}[0-9]{3,9}[^a-z0-9].*)", 1)
+    found = F.regexp_extract(F.replace(F.lower(text), F.lit("%2f"), F.lit("/")), r"(10[^a-z0-9]{1,4}[0-9]{3,9}[^a-z0-9].*)", 1)
     letters = F.regexp_replace(found, "[^a-z0-9]+", "")
     return F.when(F.length(letters) > 6, letters)
 
@@ -69,7 +70,7 @@ def surname(name: Column) -> Column:
 def surnames(names: Column) -> Column:
     """The sorted distinct surnames of a list of names in one text; null if there are none."""
     each = F.filter(F.transform(names, surname), lambda s: s.isNotNull() & (s != ""))
-    return F.when(F.size(each) > 0, F.array_join(F.array_sort(F.array_distinct(each)), " "))
+    return F.nullif(F.array_join(F.array_sort(F.array_distinct(each)), " "), F.lit(""))
 
 
 # The numerals that parts of a series are counted with.
@@ -78,9 +79,10 @@ NUMERALS = ["i 1 one", "ii 2 two", "iii 3 three", "iv 4 four", "v 5 five", "vi 6
 
 def part_number(title: Column) -> Column:
     """The number of the part of a series that a title names, or null."""
-    said = F.regexp_extract(F.lower(title), r".*\bpart[^\p{L}\p{N}]+([ivx]+|[0-9]{1,2}|one|two|three|four|five|six|seven|eight|nine|ten)\b", 1)
+    low = F.lower(title)
+    said = F.regexp_extract(low, r".*\bpart[^\p{L}\p{N}]+([ivx]+|[0-9]{1,2}|one|two|three|four|five|six|seven|eight|nine|ten)\b", 1)
     number = F.create_map(*[F.lit(x) for n, names in enumerate(NUMERALS, 1) for name in names.split() for x in (name, n)])
-    return F.when(said != "", F.try_element_at(number, said))
+    return F.when(low.contains("part"), F.try_element_at(number, said))  # the pattern is slow where it finds nothing
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -102,7 +104,7 @@ def evidence(records: DataFrame, batch: Column) -> DataFrame:
     from_identity = F.when(~F.lower("identity").contains("title"), doi_letters(F.col("identity")))
     return records.select(
         F.col("record_id").cast("bigint").alias("record_id"), F.coalesce(from_identity, doi_letters(F.col("doi"))).alias("doi"), names.alias("names"), F.when(F.length(day) >= 8, day).alias("day"),
-        F.when(folded(F.col("title")) != "", folded(F.col("title"))).alias("title"), part_number(F.col("title")).alias("part"), batch.alias("batch"),
+        F.nullif(folded(F.col("title")), F.lit("")).alias("title"), part_number(F.col("title")).alias("part"), batch.alias("batch"),
     )
 
 
@@ -246,14 +248,16 @@ def candidates(own: DataFrame, held: DataFrame | None, small: bool) -> DataFrame
     return covered.where(f"c_doi > 0.999 or c_who > 0.999 or c_title >= {HALF}")
 
 
-def judge(pairs: DataFrame, own: DataFrame, known: DataFrame) -> DataFrame:
+def judge(pairs: DataFrame, own: DataFrame, known: DataFrame, small: bool) -> DataFrame:
     """Candidate pairs after the exact check: ``sure`` is true for the same paper, null where nothing but the titles
-    speaks for it and nothing known against it; ``side`` and ``bare`` name the paper that has only its title.
+    speaks for it and nothing known against it; ``bare`` names the paper that has only its title. ``small``: the pairs
+    may be broadcast.
     """
     fields = ("doi", "names", "day", "whole", "title", "part")
     a = own.select(F.col("paper").alias("paper_a"), *[F.col(c).alias(f"{c}_a") for c in fields])
     b = known.select(F.col("paper").alias("paper_b"), *[F.col(c).alias(f"{c}_b") for c in fields])
-    both = pairs.join(a, "paper_a").join(b, "paper_b").withColumn("alike", likeness(F.col("title_a"), F.col("title_b")))
+    asked = pairs.join(a, "paper_a")
+    both = b.join(F.broadcast(asked) if small else asked, "paper_b").withColumn("alike", likeness(F.col("title_a"), F.col("title_b")))
     two_dois = F.col("doi_a").isNotNull() & F.col("doi_b").isNotNull()
     whole = F.col("whole_a") & F.col("whole_b")
     clash = lambda c: F.coalesce(F.col(f"{c}_a") != F.col(f"{c}_b"), F.lit(False))
@@ -279,7 +283,7 @@ def components(edges: DataFrame) -> tuple[DataFrame, int]:
         labels, rounds = durable(labels.join(lower, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"), rounds + 1
 
 
-def guesses(judged: DataFrame, sure: DataFrame, known: DataFrame) -> DataFrame:
+def guesses(judged: DataFrame, sure: DataFrame, known: DataFrame, small: bool) -> DataFrame:
     """(x, y): links of papers that have only their title to the one work that fits best.
 
     ``sure``: (node, label) of the links beyond doubt; two papers of one label are one work. What any paper of a known
@@ -288,7 +292,8 @@ def guesses(judged: DataFrame, sure: DataFrame, known: DataFrame) -> DataFrame:
     label = lambda c, out: sure.select(F.col("node").alias(c), F.col("label").alias(out))
     open_pairs = judged.where("sure is null").join(label("paper_a", "la"), "paper_a", "left").join(label("paper_b", "lb"), "paper_b", "left")
     rooted = open_pairs.select("*", F.coalesce("la", "paper_a").alias("work_a"), F.coalesce("lb", "root_b", "paper_b").alias("work_b"))
-    told = known.join(judged.where("sure is null and root_b is not null").select(F.col("root_b").alias("root")).distinct(), "root", "left_semi").groupBy(F.col("root").alias("root_b")).agg(*[F.collect_set(c).alias(f"{c}_told") for c in ("doi", "names", "day")])
+    asked = judged.where("sure is null and root_b is not null").select(F.col("root_b").alias("root")).distinct()
+    told = known.join(F.broadcast(asked) if small else asked, "root", "left_semi").groupBy(F.col("root").alias("root_b")).agg(*[F.collect_set(c).alias(f"{c}_told") for c in ("doi", "names", "day")])
     other = lambda c: F.coalesce((F.size(f"{c}_told") > 0) & ~F.array_contains(f"{c}_told", F.col(f"{c}_a")), F.lit(False))
     fitting = rooted.join(told, "root_b", "left").where(~other("doi") & ~other("names") & ~other("day"))
     work = F.when(F.col("a_bare"), F.col("work_b")).otherwise(F.col("work_a"))
@@ -302,15 +307,15 @@ def guesses(judged: DataFrame, sure: DataFrame, known: DataFrame) -> DataFrame:
 def _settle(own: DataFrame, own_chunks: DataFrame, index: Index | None, buckets: list[int], small: bool) -> tuple[DataFrame, DataFrame | None]:
     """(papers of a batch with their roots, the papers of the index that were looked at)."""
     pairs = durable(candidates(own_chunks, index.chunks(buckets) if index else None, small), "pairs")
-    looked = None
+    looked, few = None, False
     if index:
-        at = index.paper_bucket(F.col("root_b")).alias("b")
-        looked = index.papers([r[0] for r in pairs.where("root_b is not null").select(at).distinct().collect()])
+        asked = pairs.agg(F.count("*"), F.collect_set(index.paper_bucket(F.col("root_b")))).first()
+        looked, few = index.papers(asked[1]), small and asked[0] <= BROADCAST_ROWS
     fields = [f.split()[0] for f in PAPER_SCHEMA.split(", ")]
     known = own.select(*fields, F.lit(None).cast("bigint").alias("root"))
-    judged = durable(judge(pairs, own, known if looked is None else known.unionByName(looked.select(*known.columns))), "judged")
+    judged = durable(judge(pairs, own, known if looked is None else known.unionByName(looked.select(*known.columns)), few), "judged")
     sure, _ = components(judged.where("sure").select(F.col("paper_a").alias("x"), F.coalesce("root_b", "paper_b").alias("y")))
-    guess = durable(guesses(judged, sure, own.select(*fields, F.lit(None).cast("bigint").alias("root")).limit(0) if looked is None else looked), "guesses")
+    guess = durable(guesses(judged, sure, own.select(*fields, F.lit(None).cast("bigint").alias("root")).limit(0) if looked is None else looked, few), "guesses")
     more, _ = components(guess)
     first = own.join(sure.withColumnRenamed("node", "paper"), "paper", "left").withColumn("label", F.coalesce("label", "paper"))
     return first.join(more.select(F.col("node").alias("label"), F.col("label").alias("less")), "label", "left").withColumn("root", F.coalesce("less", "label")).drop("label", "less"), looked
@@ -344,14 +349,19 @@ def check_batches(index: Index, batches: DataFrame, number: str | None, append:
     roots = None
     for batch in order:
         own, chunks = cut.papers(batch), cut.chunks(batch)
-        settled, looked = _settle(own, chunks, index, buckets.get(batch, []), sizes.get(batch, 0) <= BROADCAST_CHUNKS)
+        small = sizes.get(batch, 0) <= BROADCAST_ROWS
+        settled, looked = _settle(own, chunks, index, buckets.get(batch, []), small)
+        if append:
+            asked = settled.select("root").distinct()
+            held = looked.join(F.broadcast(asked) if small else asked, "root", "left_semi")
+            same = reduce(lambda a, c: a & F.col(f"new.{c}").eqNullSafe(F.col(f"held.{c}")), SAID, F.col("new.root") == F.col("held.root"))
+            told = held.groupBy("root", *SAID).agg(F.lit(True).alias("told"))
+            settled = settled.alias("new").join(told.alias("held"), same, "left").select("new.*", "told")
         settled = durable(settled, "settled")
         part = settled.select("key", "root", F.lit(batch).alias("batch"))
         roots = part if roots is None else roots.unionByName(part)
         if append:
-            same = reduce(lambda a, c: a & F.col(f"new.{c}").eqNullSafe(F.col(f"held.{c}")), ("doi", "names", "day", "title", "part"), F.col("new.root") == F.col("held.root"))
-            news = durable(settled.alias("new").join(looked.alias("held"), same, "left_anti"), "news")
-            index.add(news, chunks)
+            index.add(settled.where("told is null"), chunks)
     rows = cut.read("rows", "record_id bigint, key string")
     if roots is None:
         return rows.limit(0).select(F.col("record_id").alias("original_id"), "record_id")
