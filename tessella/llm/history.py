@@ -42,7 +42,7 @@ BARE = "not whole and doi is null and title is not null"
 PAPER_SCHEMA = "paper bigint, doi string, names string, day string, whole boolean, title string, part int"
 CHUNK_SCHEMA = "paper bigint, field tinyint, chunk bigint, bytes int, size int, lone boolean, bare boolean, batch string"
 HELD_CHUNKS = "chunk bigint, field tinyint, paper bigint, root bigint, size int, bare boolean"
-CHUNKS_EACH = 1 << 17  # rows of a folder of the chunk table
+CHUNKS_EACH = 1 << 19  # rows of a folder of the chunk table
 SAID = ("doi", "names", "day", "title", "part")
 BROADCAST_ROWS = 200_000  # chunks or pairs of a batch, some 100 bytes each: what has more rows is joined by shuffle
 
@@ -241,8 +241,9 @@ def candidates(own: DataFrame, held: DataFrame | None, small: bool) -> DataFrame
     probing = a.where("lone_a and (field <> 2 or bare_a)")
     shared = (F.broadcast(probing) if small else probing).join(side(own, F.lit(None).cast("bigint")), ["field", "chunk"]).where("paper_a <> paper_b")
     if held is not None:
-        old = (F.broadcast(a) if small else a).join(side(held, F.col("root")), ["field", "chunk"]).where("field <> 2 or bare_a or bare_b")
-        shared = shared.unionByName(old)
+        asked = a.withColumnRenamed("field", "field_a")  # one whole number as the key of the join is the fastest
+        old = side(held, F.col("root")).join(F.broadcast(asked) if small else asked, "chunk").where("field = field_a and (field <> 2 or bare_a or bare_b)")
+        shared = shared.unionByName(old.select(*shared.columns))
     part = lambda f: F.sum(F.when(F.col("field") == f, F.col("bytes") / F.least("size_a", "size_b")))
     covered = shared.groupBy("paper_a", "paper_b").agg(F.max("root_b").alias("root_b"), part(DOI).alias("c_doi"), part(WHO).alias("c_who"), part(TITLE).alias("c_title"))
     return covered.where(f"c_doi > 0.999 or c_who > 0.999 or c_title >= {HALF}")
@@ -283,7 +284,7 @@ def components(edges: DataFrame) -> tuple[DataFrame, int]:
         labels, rounds = durable(labels.join(lower, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"), rounds + 1
 
 
-def guesses(judged: DataFrame, sure: DataFrame, known: DataFrame, small: bool) -> DataFrame:
+def guesses(judged: DataFrame, sure: DataFrame, known: DataFrame) -> DataFrame:
     """(x, y): links of papers that have only their title to the one work that fits best.
 
     ``sure``: (node, label) of the links beyond doubt; two papers of one label are one work. What any paper of a known
@@ -293,7 +294,7 @@ def guesses(judged: DataFrame, sure: DataFrame, known: DataFrame, small: bool) -
     open_pairs = judged.where("sure is null").join(label("paper_a", "la"), "paper_a", "left").join(label("paper_b", "lb"), "paper_b", "left")
     rooted = open_pairs.select("*", F.coalesce("la", "paper_a").alias("work_a"), F.coalesce("lb", "root_b", "paper_b").alias("work_b"))
     asked = judged.where("sure is null and root_b is not null").select(F.col("root_b").alias("root")).distinct()
-    told = known.join(F.broadcast(asked) if small else asked, "root", "left_semi").groupBy(F.col("root").alias("root_b")).agg(*[F.collect_set(c).alias(f"{c}_told") for c in ("doi", "names", "day")])
+    told = known.join(asked, "root", "left_semi").groupBy(F.col("root").alias("root_b")).agg(*[F.collect_set(c).alias(f"{c}_told") for c in ("doi", "names", "day")])
     other = lambda c: F.coalesce((F.size(f"{c}_told") > 0) & ~F.array_contains(f"{c}_told", F.col(f"{c}_a")), F.lit(False))
     fitting = rooted.join(told, "root_b", "left").where(~other("doi") & ~other("names") & ~other("day"))
     work = F.when(F.col("a_bare"), F.col("work_b")).otherwise(F.col("work_a"))
@@ -305,17 +306,18 @@ def guesses(judged: DataFrame, sure: DataFrame, known: DataFrame, small: bool) -
 
 
 def _settle(own: DataFrame, own_chunks: DataFrame, index: Index | None, buckets: list[int], small: bool) -> tuple[DataFrame, DataFrame | None]:
-    """(papers of a batch with their roots, the papers of the index that were looked at)."""
+    """(papers of a batch with their roots, the papers of the index whose roots were looked at)."""
     pairs = durable(candidates(own_chunks, index.chunks(buckets) if index else None, small), "pairs")
     looked, few = None, False
     if index:
         asked = pairs.agg(F.count("*"), F.collect_set(index.paper_bucket(F.col("root_b")))).first()
-        looked, few = index.papers(asked[1]), small and asked[0] <= BROADCAST_ROWS
+        roots, few = pairs.select(F.col("root_b").alias("root")).distinct(), small and asked[0] <= BROADCAST_ROWS
+        looked = durable(index.papers(asked[1]).join(F.broadcast(roots) if few else roots, "root", "left_semi"), "looked")
     fields = [f.split()[0] for f in PAPER_SCHEMA.split(", ")]
     known = own.select(*fields, F.lit(None).cast("bigint").alias("root"))
     judged = durable(judge(pairs, own, known if looked is None else known.unionByName(looked.select(*known.columns)), few), "judged")
     sure, _ = components(judged.where("sure").select(F.col("paper_a").alias("x"), F.coalesce("root_b", "paper_b").alias("y")))
-    guess = durable(guesses(judged, sure, own.select(*fields, F.lit(None).cast("bigint").alias("root")).limit(0) if looked is None else looked, few), "guesses")
+    guess = durable(guesses(judged, sure, own.select(*fields, F.lit(None).cast("bigint").alias("root")).limit(0) if looked is None else looked), "guesses")
     more, _ = components(guess)
     first = own.join(sure.withColumnRenamed("node", "paper"), "paper", "left").withColumn("label", F.coalesce("label", "paper"))
     return first.join(more.select(F.col("node").alias("label"), F.col("label").alias("less")), "label", "left").withColumn("root", F.coalesce("less", "label")).drop("label", "less"), looked
@@ -352,10 +354,8 @@ def check_batches(index: Index, batches: DataFrame, number: str | None, append:
         small = sizes.get(batch, 0) <= BROADCAST_ROWS
         settled, looked = _settle(own, chunks, index, buckets.get(batch, []), small)
         if append:
-            asked = settled.select("root").distinct()
-            held = looked.join(F.broadcast(asked) if small else asked, "root", "left_semi")
             same = reduce(lambda a, c: a & F.col(f"new.{c}").eqNullSafe(F.col(f"held.{c}")), SAID, F.col("new.root") == F.col("held.root"))
-            told = held.groupBy("root", *SAID).agg(F.lit(True).alias("told"))
+            told = looked.groupBy("root", *SAID).agg(F.lit(True).alias("told"))
             settled = settled.alias("new").join(told.alias("held"), same, "left").select("new.*", "told")
         settled = durable(settled, "settled")
         part = settled.select("key", "root", F.lit(batch).alias("batch"))
