@@ -61,9 +61,8 @@ def folded(text: Column) -> Column:
 def surname(name: Column) -> Column:
     """The surname of ``Given M. Surname``, ``Surname, Given`` or ``Surname GM``, folded."""
     before = F.substring_index(name, ",", 1)
-    parts = F.filter(F.split(before, r"[\s .]+"), lambda p: p != "")
-    long = F.filter(parts, lambda p: F.length(p) > 2)
-    last = F.coalesce(F.try_element_at(long, F.lit(-1)), F.try_element_at(parts, F.lit(-1)))
+    long = F.nullif(F.regexp_extract(before, r"(?s).*(?:^|[\s .])([^\s .]{3,})", 1), F.lit(""))
+    last = F.coalesce(long, F.regexp_extract(before, r"([^\s .]+)[\s .]*$", 1))
     return folded(F.when(name.contains(","), before).otherwise(last))
 
 
