@@ -193,7 +193,6 @@ def test_blocking_finds_what_all_pairs_would(spark, monkeypatch):
     p, s = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("papers", "shelf_papers"))
     got = {(r[0], r[1]) for r in matching.match_works(p, s).select("paper_id", "shelf_id").collect()}
     monkeypatch.setattr(matching, "SKETCH_DISTANCE", 128)
-    monkeypatch.setattr(matching, "FINE_DISTANCE", 256)
     want = {(r[0], r[1]) for r in matching.match_works(p, s, bits=2).select("paper_id", "shelf_id").collect()}
     print("blocking found", len(got), "of", len(want))
     assert got <= want and len(got) >= 0.95 * len(want)
