@@ -24,7 +24,7 @@ import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
-from functools import lru_cache
+from functools import lru_cache, reduce
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError, available_timezones
 
 import numpy as np
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 SECOND = 1_000_000
+LONGEST = 120  # characters of the longest notation; what is longer denotes no time and makes no mask
+CYCLE = 146_097 * 86_400  # seconds of 400 years
 
 # Month names of the notations in use (English, German, French, Spanish, Italian, Portuguese, Dutch).
 MONTH_NAMES = [
@@ -59,9 +61,6 @@ ABBREVIATIONS = {
     "nst": -210, "ndt": -150, "ast": -240, "adt": -180, "ist": 330, "npt": 345, "jst": 540, "kst": 540, "aest": 600, "aedt": 660, "acst": 570, "acdt": 630, "awst": 480, "nzst": 720, "nzdt": 780,
 }
 
-# Zones that texts name themselves, beside the home zones.
-_REGION_NAMES = {"Europe/London", "Europe/Berlin", "Europe/Paris", "Europe/Madrid", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/St_Johns", "Asia/Kolkata", "Asia/Kathmandu", "Asia/Tokyo", "Asia/Shanghai", "Australia/Sydney"}
-
 _WORDS = "|".join(sorted(MONTH, key=lambda w: (-len(w), w)))
 _DAY_NAME = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\.?,? +)?"
 _ORDINAL = r"(?:st|nd|rd|th|er|º)?"
@@ -135,14 +134,19 @@ def compile_mask(mask: str) -> Plan | None:
 
 
 class ZoneTables:
-    """Transition tables of the named zones: for local times the boundaries and the offsets between them."""
+    """Transition tables of the named zones: for local times the boundaries and the offsets between them.
+
+    They reach from before the first entry of the zone data to a whole cycle of the calendar (400 years, after which
+    days of the month fall on the same weekdays) past its last one; later times are looked up a cycle earlier.
+    """
 
-    def __init__(self, names: Iterable[str], first_year: int = 1950, last_year: int = 2060) -> None:
+    def __init__(self, names: Iterable[str], first_year: int = 1840, last_year: int = 2037 + 400) -> None:
         try:
             self.version = importlib.metadata.version("tzdata")
         except importlib.metadata.PackageNotFoundError:
             self.version = "host"
         self.tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.end = int(datetime(last_year, 1, 1, tzinfo=timezone.utc).timestamp())
         for name in {*names, "UTC"}:
             try:
                 self.tables[name.lower()] = self._build(ZoneInfo(name), first_year, last_year)
@@ -169,7 +173,8 @@ class ZoneTables:
     def offsets(self, zone: str, local_seconds: np.ndarray) -> np.ndarray:
         """Seconds to subtract from local times: the first of two readings, the offset before the change in a gap."""
         at, offsets = self.tables.get(zone.lower(), self.tables["utc"])
-        return offsets[np.searchsorted(at, local_seconds, side="right")]
+        later = np.maximum(0, -(-(local_seconds - self.end) // CYCLE))
+        return offsets[np.searchsorted(at, local_seconds - later * CYCLE, side="right")]
 
 
 def _number(codes: np.ndarray, span: tuple[int, int], most: int = 18) -> np.ndarray:
@@ -259,7 +264,7 @@ def parse_batch(texts: Iterable[str | None], zones: Iterable[str | None], mdy: I
     by_mask: dict[str, list[int]] = {}
     for i, text in enumerate(tidy):
         if text:
-            by_mask.setdefault(text.translate(_DIGITS), []).append(i)
+            by_mask.setdefault(text.translate(_DIGITS) if len(text) <= LONGEST else "", []).append(i)
     for mask, rows in by_mask.items():
         if plan := compile_mask(mask):
             codes = np.array([tidy[i] for i in rows], dtype=f"U{len(mask)}").view(np.uint32).reshape(len(rows), -1).astype(np.int64)
@@ -279,17 +284,27 @@ def utc_micros(text: Column, zone: Column, order: Column, tables: ZoneTables) ->
     return convert(text, zone, order)
 
 
-def zone_tables(*dimensions: DataFrame, column: str = "home_zone") -> ZoneTables:
-    """Tables for the zones named in dimension tables and for every zone a text may name itself.
+def regions_named(df: DataFrame, column: str) -> DataFrame:
+    """(zone): distinct region names that the texts of a column end with."""
+    found = F.regexp_extract(F.lower(column), r"(?:\[|\s)([a-z]+(?:/[a-z0-9_+-]+)+)\]?\s*$", 1)
+    return df.select(found.alias("zone")).where("zone <> ''").distinct()
+
+
+def zone_tables(*dimensions: DataFrame, column: str = "home_zone", texts: dict[str, DataFrame] | None = None) -> ZoneTables:
+    """Tables for the zones named in dimension tables and those that texts name themselves (``texts``: column -> rows).
 
-    What reaches the driver are distinct zone names, at most as many as the zone database has.
+    What reaches the driver are distinct names of zones that the zone database has, so at most as many as it has.
     """
-    names = {r[0] for d in dimensions for r in d.select(column).where(F.col(column).isNotNull()).distinct().collect()} & available_timezones()
-    return ZoneTables(names | _REGION_NAMES)
+    known = {z.lower(): z for z in available_timezones()}
+    asked = [d.select(F.lower(column).alias("zone")).distinct() for d in dimensions] + [regions_named(df, c) for c, df in (texts or {}).items()]
+    if not asked:
+        return ZoneTables([])
+    names = reduce(lambda a, b: a.unionByName(b), asked).where(F.col("zone").isin(list(known))).distinct().collect()
+    return ZoneTables(known[r[0]] for r in names)
 
 
-def normalise_timestamps(df: DataFrame, column: str, dimension: DataFrame, key: str, tables: ZoneTables, out: str = "utc_micros") -> DataFrame:
-    """Add ``out``: the UTC microseconds of ``column``, read with the zone and order of the row's ``key`` in ``dimension``.
+def normalise_timestamps(df: DataFrame, column: str, dimension: DataFrame, key: str, tables: ZoneTables, out: str = "utc_micros", version: str | None = None) -> DataFrame:
+    """Add ``out`` and, if a name is given for it, the version of the zone data that was read: the UTC microseconds of ``column``, read with the zone and order of the row's ``key`` in ``dimension``.
 
     ``dimension`` has ``key``, home_zone and date_order; keys are compared without case, outer blanks and the
     kind of word separator. The key need not exist: unknown rows read as UTC and day first. Clashing column
@@ -298,4 +313,5 @@ def normalise_timestamps(df: DataFrame, column: str, dimension: DataFrame, key:
     norm = lambda c: F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", ""))), r"[\s_-]+", "_")
     dim = dimension.select(norm(F.col(key)).alias("__key"), F.col("home_zone").alias("__zone"), F.col("date_order").alias("__order")).where("__key is not null").groupBy("__key").agg(F.min("__zone").alias("__zone"), F.min("__order").alias("__order"))
     joined = df.withColumn("__key", norm(F.col(key))).join(dim, "__key", "left")
-    return joined.withColumn(out, utc_micros(F.col(column), F.col("__zone"), F.col("__order"), tables)).drop("__key", "__zone", "__order")
+    done = joined.withColumn(out, utc_micros(F.col(column), F.col("__zone"), F.col("__order"), tables)).drop("__key", "__zone", "__order")
+    return done.withColumn(version, F.lit(tables.version)) if version else done

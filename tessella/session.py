@@ -31,12 +31,15 @@ def build_session(app: str = "tessella", cores: str = "*", shuffle_partitions: i
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, a local temporary one only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session; a temporary local one where it is unset,
+    but only in a local session: on a cluster that raises ValueError."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessella-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)

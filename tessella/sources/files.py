@@ -106,7 +106,9 @@ def binary_headers(files: DataFrame, id_col: str, content: str) -> DataFrame:
     return files.select(F.col(id_col).cast("bigint").alias("id"), F.col(content).alias("content")).mapInPandas(run, "id bigint, key string, value string")
 
 
-def is_text(content: Column) -> Column:
-    """Whether the first MiB is valid UTF-8 without a zero byte."""
-    head = F.substring(content, 1, 1 << 20)
-    return F.is_valid_utf8(head) & (F.position(F.lit("00"), F.hex(head)) % 2 != 1)
+def is_text(content: Column, block: int = 1 << 20) -> Column:
+    """Whether the first block is UTF-8 without a zero byte; a character that the block's end cuts is none of its faults."""
+    head = F.substring(content, 1, block)
+    cut = [F.is_valid_utf8(F.substring(content, 1, block - k)) for k in range(4)]
+    whole = F.when(F.octet_length(content) <= block, cut[0]).otherwise(cut[0] | cut[1] | cut[2] | cut[3])
+    return whole & ~F.contains(head, F.lit(bytearray(1)))

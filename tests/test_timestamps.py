@@ -6,9 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessella.operators.timestamps import ZoneTables, normalise_timestamps, parse_batch
+from tessella.operators.timestamps import ZoneTables, normalise_timestamps, parse_batch, zone_tables
 
-ZONES = ["Europe/Berlin", "America/New_York", "America/St_Johns", "Asia/Kathmandu", "Australia/Sydney"]
+ZONES = ["Asia/Singapore", "America/Toronto", "Europe/Rome", "Europe/Berlin", "America/New_York", "America/St_Johns", "Asia/Kathmandu", "Australia/Sydney"]
 TABLES = ZoneTables(ZONES)
 
 
@@ -54,6 +54,12 @@ def read(text, zone="UTC", order="dmy"):
         ("2024-13-01", "UTC", "dmy", None),
         ("2024-01-01 25:00:00", "UTC", "dmy", None),
         ("x" * 5000, "UTC", "dmy", None),
+        ("2024-01-01 10:00 Asia/Singapore", "UTC", "dmy", "2024-01-01 02:00:00.000000"),
+        ("2024-01-01 10:00 [America/Toronto]", "UTC", "dmy", "2024-01-01 15:00:00.000000"),
+        ("2024-07-01 10:00 [Europe/Rome]", "UTC", "dmy", "2024-07-01 08:00:00.000000"),
+        ("1943-07-01 12:00", "Europe/Berlin", "dmy", "1943-07-01 10:00:00.000000"),
+        ("2070-07-01 12:00", "Europe/Berlin", "dmy", "2070-07-01 10:00:00.000000"),
+        ("3050-07-01 12:00", "Europe/Berlin", "dmy", "3050-07-01 10:00:00.000000"),
     ],
 )
 def test_notations(text, zone, order, want):
@@ -75,3 +81,9 @@ def test_rows_keep_their_columns_and_unknown_keys_read_as_utc(spark):
     assert [r["utc_micros"] for r in out] == [1704067200000000, 1704070800000000, None]
     assert [r["home_zone"] for r in out] == ["x", "y", "z"]
     assert normalise_timestamps(rows.where(F.lit(False)), "t", dim, "source", TABLES).count() == 0
+
+
+def test_tables_hold_every_region_that_texts_name(spark):
+    rows = spark.createDataFrame([("2024-01-01 10:00 Asia/Singapore",), ("x [America/Argentina/Ushuaia]",), ("no/where",), (None,)], "t string")
+    dim = spark.createDataFrame([("Europe/Rome",), (None,)], "home_zone string")
+    assert set(zone_tables(dim, texts={"t": rows}).tables) == {"utc", "europe/rome", "asia/singapore", "america/argentina/ushuaia"}
