@@ -44,5 +44,6 @@ def diff_lines(text_lines: DataFrame) -> DataFrame:
     return filled.where(n > 0).select("file", F.explode(F.sequence(start, start + n - 1)).alias("line")).distinct()
 
 
-def changed(facts: DataFrame, lines: DataFrame) -> DataFrame:
-    return covered_lines(facts, lines)
+def changed(facts: DataFrame, lines: DataFrame, full: bool = False) -> DataFrame:
+    """The facts of statements with a changed line before the next one; ``full``: of all lines of the files touched."""
+    return facts.join(lines.select("file").distinct(), "file", "left_semi") if full else covered_lines(facts, lines)

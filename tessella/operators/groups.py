@@ -61,3 +61,10 @@ def stitched(pieces: Column) -> Column:
             F.struct(p["end"].cast("bigint").alias("reach"), F.concat(a["text"], F.when(a["reach"] < 0, p["bytes"]).otherwise(F.substring(p["bytes"], (a["reach"] - p["start"] + 1).cast("int"), F.length(p["bytes"])))).alias("text"))),
     )
     return F.decode(grown["text"], "utf-8")
+
+
+def aliases(df: DataFrame, digest: str, name: str, order: str) -> DataFrame:
+    """(digest, names, first): the distinct names that share a digest; rows without one stay apart."""
+    own = F.when(F.col(digest).isNull(), F.col(order))
+    grouped = df.groupBy(digest, own.alias("__own")).agg(F.array_join(F.array_sort(F.collect_set(name)), "|").alias("names"), F.min(order).alias("first"))
+    return grouped.select(digest, "names", "first")

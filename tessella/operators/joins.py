@@ -151,3 +151,15 @@ def covered_lines(statements: DataFrame, changed: DataFrame) -> DataFrame:
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def named_or_prefixed(queries: DataFrame, query: str, items: DataFrame, name: str, order: str) -> DataFrame:
+    """(query, order, exact): per query the last item of that very name, else the last whose name begins with it.
+
+    Names are cut to the lengths that queries have, so both forms are equality joins; a query without any item is null.
+    """
+    asked = queries.select(F.col(query)).where(F.col(query).isNotNull()).distinct()
+    sizes = asked.agg(F.collect_set(F.length(query)).alias("__sizes"))  # one row, as long as the longest query at most
+    cut = items.select(F.col(name).alias("__name"), F.col(order)).join(F.broadcast(sizes)).select("__name", order, F.explode("__sizes").alias("__n")).where(F.length("__name") >= F.col("__n"))
+    heads = cut.select(F.left("__name", F.col("__n")).alias(query), (F.length("__name") == F.col("__n")).alias("exact"), order).groupBy(query).agg(F.max(F.struct("exact", order)).alias("b"))
+    return asked.join(heads, query, "left").select(query, F.col(f"b.{order}").alias(order), F.coalesce("b.exact", F.lit(False)).alias("exact"))

@@ -11,10 +11,11 @@ and keeps the best k of each query, so neither side is broadcast and no pair of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.session import durable, scratch_path
@@ -57,6 +58,53 @@ def bm25(docs: DataFrame, doc_id: str, text: str, query: list[str]) -> DataFrame
     return posted.join(F.broadcast(idf), "term").groupBy("doc").agg(F.sum(part).alias("score")).where("score > 0")
 
 
+@dataclass
+class Postings:
+    """A lexical index as tables in the shared folder: postings in folders by the term's hash, and one row per term.
+
+    A search reads the folders of its own terms and the lengths' two figures, not the texts.
+    """
+
+    spark: SparkSession
+    path: str
+    buckets: int
+
+    @staticmethod
+    def build(docs: DataFrame, doc_id: str, text: str, path: str | None = None, buckets: int = 16) -> Postings:
+        out = Postings(docs.sparkSession, path or scratch_path(docs.sparkSession, "postings"), buckets)
+        posted = durable(postings(docs, doc_id, text), "posted")
+        sizes = posted.groupBy("doc").agg(F.max("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+        df = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(sizes)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        mean = df.agg(F.avg("raw").alias("mean"))
+        idf = df.join(F.broadcast(mean)).select("term", "mean_length", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+        for name, rows in (("postings", posted), ("terms", idf)):
+            rows.withColumn("bucket", out._bucket(F.col("term"))).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{out.path}/{name}")
+        return out
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+    def search(self, query: list[str]) -> DataFrame:
+        """(doc, score) of all documents with a positive score; repeated query tokens count repeatedly."""
+        asked = self.spark.createDataFrame([(t,) for t in query], "term string").groupBy("term").agg(F.count("*").alias("times"))
+        there = [r[0] for r in asked.select(self._bucket(F.col("term"))).distinct().collect()]  # a query's terms
+        read = lambda name, schema: self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.path}/{name}").where(F.col("bucket").isin(there)).drop("bucket")
+        weights = read("terms", "term string, mean_length double, idf double").join(F.broadcast(asked), "term")
+        part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+        hits = read("postings", "doc bigint, length int, term string, tf bigint").join(F.broadcast(weights), "term")
+        return hits.groupBy("doc").agg(F.sum(part).alias("score")).where("score > 0")
+
+
+def k_bounds(wanted: Column, total: Column) -> tuple[Column, Column]:
+    """Least and most results to choose from: half and double of what is wanted, within what there is."""
+    return F.least(F.greatest(F.lit(1), F.floor(wanted / 2)), total).cast("int"), F.least(wanted * 2, total).cast("int")
+
+
+def score_distance(score: Column) -> Column:
+    """A lexical score as a distance."""
+    return 1.0 / (1.0 + score)
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 

@@ -233,7 +233,7 @@ SQL = {
     "truncate_middle": "select doc_id, case when length(text) > 600 then left(text, 300) || chr(10) || '...' || chr(10) || right(text, 300) else text end as short from documents",
     "content_hash": "select doc_id, sha256(text) as sha256, md5(text) as md5 from documents",
     "chunk_ids": "select item_no, left(sha256(concat_ws(':', file_sha, cast(byte_offset as varchar), text)), 32) as content_id from chunks",
-    "base64_text": "select doc_id, 'data:text/plain;base64,' || to_base64(encode(left(text, 40))) as url from documents",
+    "base64_text": "select doc_id, 'data:text/plain;base64,' || to_base64(encode(text)) as url from documents",
     "cnf_filter": "select paper_id, source from (select *, lower(concat_ws(' ', title, abstract)) as t from papers) where (contains(t, 'merging') or contains(t, 'fusion') or contains(t, 'pooling')) and (contains(t, 'oncology') or contains(t, 'banking') or contains(t, 'geology'))",
     "regex_filter": "select paper_id, title from papers where regexp_matches(title, '(?i)toolkit for .*(caching|tuning)')",
     "include_exclude": "select item_no, rel_path from chunks where (regexp_matches(rel_path, '\\.(py|md)$') or rel_path = 'acoustics/releases/coverage_00029.log') and not regexp_matches(rel_path, '(^|/)logs?/')",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,30 @@ def coverage_xml(spark: SparkSession, path: str) -> DataFrame:
     return each.select("file", F.col("l._number").alias("line"), F.col("l._hits").alias("hits"), branch(1).alias("br_taken"), branch(2).alias("br_total"))
 
 
+def coverage_reports(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The facts of the reports that exist among the paths, with the place of their path as ``ord``; all missing: none."""
+    jvm, found = spark.sparkContext._jvm, []
+    for n, p in enumerate(paths):
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            found.append(coverage_xml(spark, p).withColumn("ord", F.lit(n)))
+    if not found:
+        return spark.createDataFrame([], "file string, line int, hits int, br_taken int, br_total int, ord int")
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def text_files(spark: SparkSession, path: str, suffixes: list[str], most: int = 256 << 20) -> DataFrame:
+    """(path, text) of the files with one of the suffixes, bytes that are no UTF-8 left out; null beyond ``most`` bytes."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\\.") for s in suffixes) + ")$"))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    return found.select("path", F.when(F.col("length") <= most, text).alias("text"))
+
+
+def fresh(kept: DataFrame, at: str, now: Column, seconds: int) -> DataFrame:
+    """The rows of a cache that were fetched within so many seconds before ``now``; null times are stale."""
+    return kept.where((F.col(at) > now - F.make_interval(secs=F.lit(seconds))) & (F.col(at) <= now))
+
+
 def schedule(lines: DataFrame) -> DataFrame:
     """(cron, command) of the lines (``value``) of a schedule: five fields, then the command; comments are dropped."""
     text = F.trim(F.regexp_replace("value", "#.*$", ""))
