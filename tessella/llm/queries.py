@@ -64,6 +64,10 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_reparameterised(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.reparameterised(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 

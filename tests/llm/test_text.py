@@ -113,8 +113,8 @@ def test_leaks_against_brute_force(spark):
             if any(dw[a : a + 12] == iw[b : b + 12] for a in range(len(dw) - 11) for b in range(len(iw) - 11)):
                 want.add((d, i))
     dd, ii = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    for block in (500_000, 20):
-        got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(dd, ii, block_windows=block).where("exact_windows > 0").collect()}
+    for bits in (leakage.MOST_BITS, 1 << 6):
+        got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(dd, ii, most_bits=bits).where("exact_windows > 0").collect()}
         assert got == want and want
     assert leakage.leaks(dd.limit(0), ii).count() == 0
     assert leakage.leaks(dd, ii.limit(0)).count() == 0
@@ -130,6 +130,38 @@ def test_other_numbers_are_caught_if_consistent(spark):
     assert 2 not in got or got[2][1] < 5
 
 
+def test_questions_with_fresh_names_numbers_and_units_are_found(spark):
+    """Planted: 40 of 60 items stand in a document with other names, numbers and units; 20 documents only resemble one."""
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice(c) for c in ("BDFGKLMNPRSTVZ", "aeiou", "bdfgklmn", "aeiou", "rstx"))
+    verbs, things = ["buys", "sells", "paints", "counts", "hides", "lends"], ["apples", "barrels", "candles", "doors", "engines", "feathers", "globes"]
+
+    def fill(shape, values):
+        return shape.format(**values)
+
+    values = lambda: {"a": name(), "b": name(), "n": rng.randint(2, 499), "m": rng.randint(500, 999), "u": rng.choice(["hours", "days", "weeks"])}
+    shapes = []
+    for _ in range(60):
+        w = rng.sample(verbs, 3) + rng.sample(things, 3)
+        shapes.append(f"every morning {{a}} {w[0]} {{n}} {w[3]} near the {w[4]} before {{b}} {w[1]} {{m}} of them, and after {{m}} {{u}} {{a}} {w[2]} the {w[5]} that {{b}} left behind")
+    items = [(i, fill(s, values())) for i, s in enumerate(shapes)]
+    docs = [(i, "Some words first. " + fill(shapes[i], values()) + ". Some words after.") for i in range(40)]
+    for i in range(40, 60):  # the same words with slots that don't agree among themselves
+        v = values()
+        docs.append((i, fill(shapes[i].replace("{a}", "{b}", 1), v).replace(v["b"], name(), 1)))
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.reparameterised(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = {(i, i) for i in range(40)}
+    print("re-parameterised: recall", len(got & want) / len(want), "precision", len(got & want) / len(got))
+    assert got & want == want and len(got - want) <= 2
+
+
+def test_a_fresh_name_is_a_slot(spark):
+    item = "the crates of Vexlor hold nineteen teal lamps and weigh less than any other crates do"
+    docs = spark.createDataFrame([(1, item), (2, item.replace("Vexlor", "Zorbla")), (3, item.upper())], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["exact_windows"], r["template_windows"]) for r in leakage.leaks(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    assert got == {1: (5, 0), 2: (1, 4), 3: (5, 0)}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab é\n\r.→\t", max_size=400), st.integers(9, 80), st.integers(0, 30))
 def test_pieces_rebuild_the_text(text, limit, overlap):
