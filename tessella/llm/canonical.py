@@ -7,7 +7,8 @@ no character has two outputs, and every output is its own output (one pass is en
 pure ASCII stretches are copied as they are.
 
 Kept apart: letter case, line breaks, accents (in one composed form), superscripts, fractions, circled and
-squared characters, and dashes longer than a hyphen. Null stays null.
+squared characters, dashes longer than a hyphen, and letters that a reader can tell from the Latin ones, such as the
+i without a dot. Null stays null. The digests of all forms are written once; texts are canonicalised a single time.
 """
 
 from __future__ import annotations
@@ -22,12 +23,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tessella.session import durable
+
 # Characters drawn like Latin letters, and the letters they are drawn like.
 LOOK_ALIKES = {
     "Cyrillic small": ("асԁеһіјӏорԛѕԝхуү", "acdehijlopqswxyy"),
     "Cyrillic capital": ("АВСЕНІЈКМОРԚЅТԜХҮ", "ABCEHIJKMOPQSTWXY"),
-    "Greek small": ("ο", "o"),
+    "Greek small": ("ορν", "opv"),
     "Greek capital": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
+    "Armenian small": ("օոսցհ", "onugh"),
+    "Armenian capital": ("ՕՍԼՏ", "OULS"),
+    "Cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏒᏔᏞᏟᏢᏦᏴᏚ", "DRTAJEWMHYGZ4RWLCPKBS"),
+    "Coptic": ("ⲞⲟⲢⲣⲤⲥⲔⲘⲦⲬⲎⲒⲀⲂ", "OoPpCcKMTXHIAB"),
+    "Latin letters of phonetics": ("ɑɡ", "ag"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
     "signs": ("‐‑⁃−﹣µ∶ꞏ∕", "-----μ:·/"),
 }
 # Characters that take no room on the line.
@@ -70,7 +79,7 @@ def mapping() -> dict[str, str]:
         if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xF8FF or 0x3400 <= code <= 0x9FFF or 0x20000 <= code <= 0xE00FF or code >= 0xE01F0:
             continue
         ch = chr(code)
-        if ch not in out and (to := _plain(ch)) is not None:
+        if (to := _plain(ch)) is not None:
             put(ch, to)
     put("\t", " ")
     for ch, to in list(out.items()):
@@ -160,7 +169,7 @@ def look_alike_classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
     Null texts form no class and are left out; the empty text is a text like any other.
     """
-    keys = look_alike_keys(df, id_col, text)
+    keys = durable(look_alike_keys(df, id_col, text), "keys")
     spellings = keys.groupBy("form", "raw").agg(F.min("id").alias("first"))
     classes = spellings.groupBy("form").agg(F.min("first").alias("class_id"), F.count("*").alias("variants"))
     return keys.join(classes, "form").select("id", "class_id", "variants")
@@ -172,7 +181,7 @@ def look_alike_pairs(df: DataFrame, id_col: str, text: str) -> DataFrame:
     Forms with one spelling only, such as a text copied unchanged into a third of all rows, are dropped by
     aggregation before the join; what remains is as large as the result asked for.
     """
-    keys = look_alike_keys(df, id_col, text)
+    keys = durable(look_alike_keys(df, id_col, text), "keys")
     mixed = keys.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
     few = keys.join(mixed, "form", "left_semi")
     a, b = (few.select("form", F.col("id").alias(f"id_{s}"), F.col("raw").alias(f"raw_{s}")) for s in "ab")

@@ -279,7 +279,9 @@ def components(edges: DataFrame) -> tuple[DataFrame, int]:
         uneven = both.join(of("x"), "x").join(of("y"), "y").where("lx > ly")
         if uneven.isEmpty():
             return labels, rounds
-        lower = uneven.groupBy(F.col("lx").alias("label")).agg(F.min("ly").alias("to"))  # whole labels move at once
+        lower = durable(uneven.groupBy(F.col("lx").alias("label")).agg(F.min("ly").alias("to")), "lower")  # whole labels move at once
+        for _ in range(2):  # and on to where their new labels move
+            lower = lower.join(lower.select(F.col("label").alias("to"), F.col("to").alias("on")), "to", "left").select("label", F.coalesce("on", "to").alias("to"))
         labels, rounds = durable(labels.join(lower, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"), rounds + 1
 
 

@@ -123,8 +123,8 @@ def _windows(width: int, bitmap):  # noqa: ANN001, ANN202
 
 
 def _bitmap(windows: DataFrame, n: int, most: int) -> np.ndarray:
-    """A bitmap of the upper bits of the windows' hashes: 64 bits for each window, ``most`` bits at most."""
-    bits = min(most.bit_length() - 1, max(10, (n * 64).bit_length()))
+    """A bitmap of the upper bits of the windows' hashes: 1,024 bits for each window, ``most`` bits at most."""
+    bits = min(most.bit_length() - 1, max(10, (n * 1024).bit_length()))
     at = F.shiftrightunsigned("hash", 64 - bits)
     rows = windows.select(at.alias("a")).selectExpr("shiftright(a, 6) as word", "shiftleft(1L, cast(a & 63 as int)) as bit")
     words = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # no more rows than the bitmap has words

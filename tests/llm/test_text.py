@@ -22,6 +22,11 @@ from tessella.llm.chunking import chunk_batch
         ("x\r\ny", "x\ny"),
         ("161 µs", "161 μs"),
         ("e\u200b\u0301", "é"),
+        ("Ꭺpple", "Apple"),
+        ("օne", "one"),
+        ("ρay", "pay"),
+        ("νiew", "view"),
+        ("ɑpple", "apple"),
     ],
 )
 def test_equal_looks(a, b):
@@ -54,6 +59,15 @@ def test_conflicts_are_refused(monkeypatch):
     assert canonical.mapping()
 
 
+def test_a_table_against_the_rules_is_refused(monkeypatch):
+    monkeypatch.setitem(canonical.LOOK_ALIKES, "against", ("ａ", "b"))  # the rules make it an a
+    canonical.mapping.cache_clear()
+    with pytest.raises(ValueError, match="two outputs"):
+        canonical.mapping()
+    monkeypatch.undo()
+    canonical.mapping.cache_clear()
+
+
 def test_look_alike_pairs_and_classes(spark):
     rows = spark.createDataFrame([(1, "abc", "k"), (2, "аbc", "k"), (3, "abc", "k"), (4, None, "k"), (5, "", "k"), (6, "abd", "k")], "doc_id bigint, text string, id string")
     pairs = {tuple(r) for r in canonical.look_alike_pairs(rows, "doc_id", "text").collect()}
