@@ -2,10 +2,10 @@
 
 Method: field-by-field survivorship in one aggregation. For every attribute the group takes the maximum of a
 composite struct (usable, completeness or trust, time, smaller id, value), so each field can come from another row.
-Partial aggregation reduces a DOI that holds a third of all rows before anything is shuffled.
+Partial aggregation reduces a DOI that holds a third of all rows before the groups are shuffled.
 
-Usable are: an abstract that is no stand-in and no notice (a text that stands under several DOIs is a notice of the
-site, whatever it says); a web address of the PDF itself; a count that is not negative; a known archive. Truncation
+Usable are: an abstract that is no stand-in and no notice (a text that stands under several DOIs with several titles is a
+notice of the site, whatever it says; the versions of one paper share a title); a web address of the PDF itself; a count that is not negative; a known archive. Truncation
 marks and blanks don't count towards completeness. Ties go to the latest retrieval, then to the smallest id. Null
 times rank behind all others, and so does an archive of unknown trust. Rows without a DOI take no part; a field
 nobody can supply is absent from the result. Repeated rows are rows like any other.
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import durable
+
 # Stand-ins for a missing abstract (folded), and openings of notices and sign-in pages.
 STAND_INS = ["", "null", "none", "na", "nan", "nil", "tba", "tbd", "unknown", "missing", "abstract", "summary", "noabstract", "noabstractavailable", "abstractnotavailable", "notavailable", "abstractwithheld", "seefulltext", "seepdf", "seepaper", "fulltext", "abstractunavailable", "noabstractprovided", "abstractnotprovided", "nosummaryavailable", "clicktoread", "comingsoon"]
 NOTICES = r"^(access to this (content|article|document)|this (site|website) (sets|uses)|sign in|log in|please (sign|log) in|subscribe|you do not have access|we use cookies|cookies? )"
@@ -46,7 +48,7 @@ def _rows(papers: DataFrame, archives: DataFrame, keep: list[str]) -> DataFrame:
     trust = archives.select(archive_key(F.col("source")).alias("__archive"), F.col("trust").cast("int").alias("__trust")).where("__archive is not null").groupBy("__archive").agg(F.min("__trust").alias("__trust"))
     rows = papers.select(
         bare_doi(F.col("doi")).alias("doi"), "paper_id", F.col("retrieved_at").cast("timestamp_ntz").alias("at"), archive_key(F.col("source")).alias("__archive"),
-        whole_abstract(F.col("abstract")).alias("text"), F.trim("pdf_url").alias("pdf"), F.col("citation_count").alias("count"),
+        whole_abstract(F.col("abstract")).alias("text"), F.xxhash64(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", "")).alias("title"), F.trim("pdf_url").alias("pdf"), F.col("citation_count").alias("count"),
         *[F.col(c).alias(f"v_{c}") for c in keep],
     ).where("doi is not null")
     folded = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
@@ -59,9 +61,10 @@ def survivors(papers: DataFrame, archives: DataFrame, with_values: bool = True,
     """One row per DOI that ``least`` or more rows denote: n_rows and for each field the id of the row that
     supplies it (null if none) and, if asked for, its value.
     """
-    rows = _rows(papers, archives, list(FIELDS) if with_values else [])
-    notices = rows.where("digest is not null").groupBy("digest", "doi").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("dois")).where(f"dois >= {NOTICE_DOIS}").select("digest", F.lit(True).alias("notice"))
-    rows = rows.join(notices, "digest", "left")
+    rows = durable(_rows(papers, archives, list(FIELDS) if with_values else []), "rows")  # read twice
+    shared = rows.where("digest is not null").groupBy("digest", "doi").agg(F.min("title").alias("title")).groupBy("digest").agg(F.count("*").alias("dois"), F.count_distinct("title").alias("titles"))
+    notices = shared.where(f"dois >= {NOTICE_DOIS} and titles >= {NOTICE_DOIS}").select("digest", F.lit(True).alias("notice"))
+    rows = rows.join(notices, "digest", "left").drop("title")
     usable = {
         "abstract": F.col("own") & F.col("notice").isNull(),
         "pdf_url": F.col("pdf").rlike(r"(?i)^https?://[^/\s]+/\S*(\.pdf([?#]\S*)?$|pdf/[^/\s]+)") & ~F.col("pdf").rlike(r"(?i)/(login|signin|sign-in|abs|landing|cookies?|consent)([/?#]|$)"),
