@@ -40,6 +40,11 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
 
 
+def p5_checks(spark: SparkSession, d: str) -> DataFrame:
+    items, limits = table(spark, d, "chunks"), table(spark, d, "chunk_limits")
+    return splitting.piece_checks(splitting.split_items(items, limits), items, limits)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     papers = format_copies.format_copies(table(spark, d, "papers"), "paper_id", ["title"], ["authors"])
     seen = format_copies.format_copies(table(spark, d, "seen_papers"), "record_id", ["identity"])

@@ -4,7 +4,8 @@ Method: content-defined chunking. A rolling hash over the bytes marks landmarks;
 between the minimum and maximum size, snapped to the nearest natural boundary of the strongest kind near it
 (paragraph, line, sentence, word, character). Since landmarks depend on the bytes around them only, the cuts fall
 into step again soon after an edit. A piece is the stretch between two cuts, begun ``overlap`` bytes earlier at a
-natural boundary; the stretch is kept short enough for the piece to stay within the limit.
+natural boundary; the stretch is kept short enough for the piece to stay within the limit. An overlap may be up to 8 bytes
+less than the limit, so that every piece gets on; a larger one is cut to that.
 
 All sizes and offsets count UTF-8 bytes; a character is never divided. Lines end in LF or CR LF. Null texts are
 left out, texts within the limit come out whole, an unknown suffix takes the limit of the empty one, and a null
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.canonical import INVISIBLE
@@ -96,7 +97,7 @@ def split_bytes(data: np.ndarray, limit: int, overlap: int, paragraph_starts: li
     n = len(data)
     if n <= limit:
         return [(0, 0, n)]
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 8))
     slack = min(48, overlap, max(0, limit - overlap - 4))  # room for moving the overlap's begin back to a boundary
     most = max(4, limit - overlap - slack)
     least, every = max(4, most // 3), max(2, most // 4)
@@ -175,6 +176,23 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
     return known.mapInPandas(_pieces, PIECE_SCHEMA)
 
 
+def piece_checks(pieces: DataFrame, items: DataFrame, limits: DataFrame) -> DataFrame:
+    """(item_no, n_bytes, whole, within, lines): per item with known offset and lines, from its pieces: the bytes from the
+    first one's begin to the last one's end, whether no byte is left out between them, whether all are within the limit
+    (or one character), and whether the lines counted are those of the item."""
+    w = Window.partitionBy("item_no", "at").orderBy("piece_no")
+    # copies of an item have the same number; their pieces are told apart by where the copy begins
+    begins = F.min(F.when(F.col("piece_no") == 0, F.col("byte_offset")))
+    first = pieces.groupBy("item_no").agg(begins.alias("at"))
+    placed = pieces.join(first, "item_no").where("at is not null")
+    end = F.col("byte_offset") + F.col("n_bytes")
+    steps = placed.withColumn("gap", F.col("byte_offset") > F.coalesce(F.lag(end).over(w), F.col("byte_offset")))
+    lim = limits.select(F.coalesce(F.lower("suffix"), F.lit("")).alias("suffix"), F.col("max_bytes").alias("most")).dropDuplicates(["suffix"])
+    own = items.select("item_no", F.coalesce(suffix_of(F.col("file_path")), F.lit("")).alias("suffix"), "line_start", "line_end").join(lim, "suffix", "left").join(lim.where("suffix = ''").select(F.col("most").alias("rest")).limit(1), F.lit(True), "left")
+    facts = steps.groupBy("item_no", "at").agg((F.max(end) - F.min("byte_offset")).alias("n_bytes"), (~F.bool_or("gap")).alias("whole"), F.max("n_bytes").alias("largest"), F.min("line_start").alias("l0"), F.max("line_end").alias("l1"))
+    return facts.join(own, "item_no").select("item_no", "n_bytes", "whole", (F.col("largest") <= F.greatest(F.coalesce("most", "rest"), F.lit(4))).alias("within"), ((F.col("l0") == F.col("line_start")) & (F.col("l1") == F.col("line_end"))).alias("lines"))
+
+
 def oversize_paragraphs(pieces: DataFrame) -> DataFrame:
     """The paragraphs that had to be cut inside, from the pieces begun in them (each such paragraph has one or more)."""
     cut = pieces.where("paragraph_line_start is not null")

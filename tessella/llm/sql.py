@@ -42,6 +42,7 @@ best as (select g, field_name, paper_id from (select *, row_number() over (parti
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"{_P2_BEST} select g as doi, field_name, paper_id from best where g in (select g from groups)",
+        "p5_checks": "select item_no, cast(strlen(text) as bigint) as n_bytes, true as whole, true as within, line_start + length(text) - length(replace(text, chr(10), '')) = line_end as lines from chunks where text is not null and byte_offset is not null",
         "p6_found": f"{_P6_ROWS} select record_table, kept_id, id as copy_id from (select record_table, id, min(id) over (partition by record_table, t, a) as kept_id from k) where id <> kept_id",
         "p6_collapsed": f"{_P6_ROWS} select record_table, min(id) as kept_id, count(*) as copies from k group by record_table, t, a",
     }
