@@ -78,7 +78,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: f
     """(chosen documents with their number of copies, report of the shares per target source)."""
     sizes = durable(token_sizes(documents, path))
     plan = plan_mix(sizes, targets, total_tokens)
-    cell = sizes.select("doc_id", "source", "n_tokens", F.floor(F.log2(F.col("n_tokens") + 1) * 8).alias("length"), F.xxhash64("doc_id", F.lit(seed)).alias("order")).withColumn("cell", F.pmod("order", F.lit(_CELLS)))
+    cell = sizes.select("doc_id", "source", "n_tokens", F.floor(F.log2(F.col("n_tokens") + 1) * 64).alias("length"), F.xxhash64("doc_id", F.lit(seed)).alias("order")).withColumn("cell", F.pmod("order", F.lit(_CELLS)))
     cells = cell.groupBy("source", "length", "cell").agg(F.count("*").alias("n"))
     before = cells.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("length", "cell").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
     wanted = plan.where("expected > 0").select("source", "expected", "max_repeats", (F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 32)) / F.lit(float(1 << 32))).alias("offset"))
