@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.chunking import chunk_batch
-from tessella.session import durable, scratch_path
+from tessella.session import durable, full_partitions, scratch_path
 
 DOI, WHO, TITLE = 0, 1, 2
 REACH = {DOI: 16, WHO: 12, TITLE: 8}
@@ -350,19 +350,20 @@ def check_batches(index: Index, batches: DataFrame, number: str | None, append:
     said = cut.chunks().groupBy("batch").agg(F.count("*").alias("n"), F.collect_set(index.chunk_bucket(F.col("chunk"))).alias("buckets")).collect()
     sizes, buckets = {r["batch"]: r["n"] for r in said}, {r["batch"]: r["buckets"] for r in said}
     roots = None
-    for batch in order:
-        own, chunks = cut.papers(batch), cut.chunks(batch)
-        small = sizes.get(batch, 0) <= BROADCAST_ROWS
-        settled, looked = _settle(own, chunks, index, buckets.get(batch, []), small)
-        if append:
-            same = reduce(lambda a, c: a & F.col(f"new.{c}").eqNullSafe(F.col(f"held.{c}")), SAID, F.col("new.root") == F.col("held.root"))
-            told = looked.groupBy("root", *SAID).agg(F.lit(True).alias("told"))
-            settled = settled.alias("new").join(told.alias("held"), same, "left").select("new.*", "told")
-        settled = durable(settled, "settled")
-        part = settled.select("key", "root", F.lit(batch).alias("batch"))
-        roots = part if roots is None else roots.unionByName(part)
-        if append:
-            index.add(settled.where("told is null"), chunks)
+    with full_partitions(index.spark):
+        for batch in order:
+            own, chunks = cut.papers(batch), cut.chunks(batch)
+            small = sizes.get(batch, 0) <= BROADCAST_ROWS
+            settled, looked = _settle(own, chunks, index, buckets.get(batch, []), small)
+            if append:
+                same = reduce(lambda a, c: a & F.col(f"new.{c}").eqNullSafe(F.col(f"held.{c}")), SAID, F.col("new.root") == F.col("held.root"))
+                told = looked.groupBy("root", *SAID).agg(F.lit(True).alias("told"))
+                settled = settled.alias("new").join(told.alias("held"), same, "left").select("new.*", "told")
+            settled = durable(settled, "settled")
+            part = settled.select("key", "root", F.lit(batch).alias("batch"))
+            roots = part if roots is None else roots.unionByName(part)
+            if append:
+                index.add(settled.where("told is null"), chunks)
     rows = cut.read("rows", "record_id bigint, key string")
     if roots is None:
         return rows.limit(0).select(F.col("record_id").alias("original_id"), "record_id")
