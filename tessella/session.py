@@ -5,8 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,16 +68,3 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def full_partitions(spark: SparkSession) -> Iterator[None]:
-    """Let adaptive execution fill shuffle partitions up to the advisory size instead of keeping every core busy: for
-    loops of many small steps, whose tasks cost more to start than to run. The session's setting is put back."""
-    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
