@@ -5,7 +5,7 @@ composite struct (usable, completeness or trust, time, smaller id, value), so ea
 Partial aggregation reduces a DOI that holds a third of all rows before the groups are shuffled.
 
 Usable are: an abstract that is no stand-in and no notice (a text that stands under several DOIs with several titles is a
-notice of the site, whatever it says; the versions of one paper share a title); a web address of the PDF itself; a count that is not negative; a known archive. Truncation
+notice of the site, whatever it says; the versions of one paper share a long title); a web address of the PDF itself; a count that is not negative; a known archive. Truncation
 marks and blanks don't count towards completeness. Ties go to the latest retrieval, then to the smallest id. Null
 times rank behind all others, and so does an archive of unknown trust. Rows without a DOI take no part; a field
 nobody can supply is absent from the result. Repeated rows are rows like any other.
@@ -23,6 +23,7 @@ STAND_INS = ["", "null", "none", "na", "nan", "nil", "tba", "tbd", "unknown", "m
 NOTICES = r"^(access to this (content|article|document)|this (site|website) (sets|uses)|sign in|log in|please (sign|log) in|subscribe|you do not have access|we use cookies|cookies? )"
 TRUNCATION = r"(\s*(\.\.\.|…|\[(truncated|\.\.\.|…|more)\]|read more|show more|continue reading)\s*[.…]*)+$"
 NOTICE_DOIS = 3
+OWN_TITLE = 18  # letters from which on a title names one work
 FIELDS = ("abstract", "pdf_url", "citation_count", "source")
 
 
@@ -46,9 +47,11 @@ def whole_abstract(text: Column) -> Column:
 
 def _rows(papers: DataFrame, archives: DataFrame, keep: list[str]) -> DataFrame:
     trust = archives.select(archive_key(F.col("source")).alias("__archive"), F.col("trust").cast("int").alias("__trust")).where("__archive is not null").groupBy("__archive").agg(F.min("__trust").alias("__trust"))
+    # without titles nothing tells the versions of a paper from notices
+    titles = F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", "") if "title" in papers.columns else F.lit(None).cast("string")
     rows = papers.select(
         bare_doi(F.col("doi")).alias("doi"), "paper_id", F.col("retrieved_at").cast("timestamp_ntz").alias("at"), archive_key(F.col("source")).alias("__archive"),
-        whole_abstract(F.col("abstract")).alias("text"), F.xxhash64(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", "")).alias("title"), F.trim("pdf_url").alias("pdf"), F.col("citation_count").alias("count"),
+        whole_abstract(F.col("abstract")).alias("text"), titles.alias("title"), F.trim("pdf_url").alias("pdf"), F.col("citation_count").alias("count"),
         *[F.col(c).alias(f"v_{c}") for c in keep],
     ).where("doi is not null")
     folded = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
@@ -62,8 +65,8 @@ def survivors(papers: DataFrame, archives: DataFrame, with_values: bool = True,
     supplies it (null if none) and, if asked for, its value.
     """
     rows = durable(_rows(papers, archives, list(FIELDS) if with_values else []), "rows")  # read twice
-    shared = rows.where("digest is not null").groupBy("digest", "doi").agg(F.min("title").alias("title")).groupBy("digest").agg(F.count("*").alias("dois"), F.count_distinct("title").alias("titles"))
-    notices = shared.where(f"dois >= {NOTICE_DOIS} and titles >= {NOTICE_DOIS}").select("digest", F.lit(True).alias("notice"))
+    shared = rows.where("digest is not null").groupBy("digest", "doi").agg(F.min("title").alias("title")).groupBy("digest").agg(F.count("*").alias("dois"), F.count_distinct("title").alias("titles"), F.min(F.coalesce(F.length("title"), F.lit(0))).alias("shortest"))
+    notices = shared.where(f"dois >= {NOTICE_DOIS} and (titles >= {NOTICE_DOIS} or shortest < {OWN_TITLE})").select("digest", F.lit(True).alias("notice"))
     rows = rows.join(notices, "digest", "left").drop("title")
     usable = {
         "abstract": F.col("own") & F.col("notice").isNull(),
