@@ -11,8 +11,9 @@ cosine knows nothing of, agree or disagree.
 Scale: records are reduced to distinct profiles before hashing, so a title or work that fills a third of all rows is
 hashed once; bits per table follow the number of profiles, so the bucket size stays level; buckets are joined, never
 multiplied out in one task; the probing side's profiles are broadcast while they weigh BROADCAST_BYTES at most and
-joined by shuffle beyond. Bounded and documented: SAMPLE records for the walks, VOCABULARY tokens with own weights
-and vectors (all others have the weight of rare tokens and the vector of their spelling), FIT pairs for the curve.
+joined by shuffle beyond. The model is fitted on all profiles, shard by shard, and its token counts, the mean vectors
+and the curve come from all of them: the curve's pairs are counted in cells of their cosine, CELLS to one. What reaches
+the driver are the vectors of tokens that two profiles hold, one sum of each task and the cells.
 
 Null or empty titles match nothing. Null authors or dates are missing evidence and contradict nothing; then the
 titles must agree word for word but for misspellings and words left out. Repeated rows all count.
@@ -32,11 +33,13 @@ from pyspark.sql.types import DoubleType
 
 from tessella.llm.history import part_number
 from tessella.llm.survivors import bare_doi
-from tessella.llm.vectors import TRAINED, Hyperplanes, Model, skip_gram, walks
+from tessella.llm.vectors import DIMS, TRAINED, Hyperplanes, Model, train_shard
 from tessella.operators.timestamps import ZoneTables, utc_micros
 from tessella.session import durable
 
-SAMPLE, VOCABULARY, FIT = 3000, 20_000, 20_000
+SHARD = 8192  # profiles trained on together, by the hash of their ids
+FIXED = 1 << 20  # sums are kept in these parts of one
+CELLS = 10_000  # of a cosine between 0 and 1, for the curve
 SKETCH_DISTANCE = 38  # of 128 bits
 BROADCAST_BYTES = 32 << 20
 SHORTEST, PLAIN = 12, 18  # letters a title must have to stand for a longer one that holds it, with like authors and without any
@@ -94,20 +97,62 @@ def _distinct(rows: DataFrame) -> DataFrame:
     return durable(rows.groupBy("pid").agg(*[F.max(c).alias(c) for c in ("title", "head", "tail", "people", "names", "year", "part")]))
 
 
+def _trainer(seed: int):  # noqa: ANN202
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Batches in the order of their shards -> what each token's vectors of the task's shards sum up to."""
+        sums: dict[int, np.ndarray] = {}
+        held: list[pd.DataFrame] = []
+
+        def train() -> None:
+            whole = pd.concat(held)
+            records = [[t.split(), p.split() if p else []] for t, p in zip(whole["title"], whole["people"])]
+            keys, n, vectors = train_shard(records, int(whole["shard"].iat[0]), seed)
+            rows = np.concatenate((n[:, None], np.rint(vectors.astype(np.float64) * n[:, None] * FIXED).astype(np.int64)), 1)
+            for key, row in zip(keys.tolist(), rows):
+                sums[key] = sums[key] + row if key in sums else row
+
+        for batch in batches:
+            for shard, part in batch.groupby("shard", sort=False):
+                if held and held[0]["shard"].iat[0] != shard:
+                    train()
+                    held.clear()
+                held.append(part)
+        if held:
+            train()
+        if sums:
+            table = np.stack(list(sums.values()))
+            yield pd.DataFrame({"token": np.fromiter(sums, dtype=np.int64), **{f"v{i}": table[:, i] for i in range(table.shape[1])}})
+
+    return run
+
+
+def _summer(model: Model):  # noqa: ANN202
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(2 * DIMS, dtype=np.int64)
+        for batch in batches:
+            titles = [t.split() for t in batch["title"]]
+            both = [t + (p.split() if p else []) for t, p in zip(titles, batch["people"])]
+            total += np.concatenate([np.rint(model.vectors(lists).astype(np.float64) * FIXED).astype(np.int64).sum(0) for lists in (titles, both)])
+        yield pd.DataFrame({"total": [total]})
+
+    return run
+
+
 def fit_model(profiles: DataFrame, seed: int = 3) -> tuple[Model, np.ndarray, int]:
-    """(model, mean title vector and mean title-and-authors vector of the sample, number of profiles)."""
-    tokens = profiles.select(F.explode(F.array_distinct(F.split(F.concat_ws(" ", "title", "people"), " "))).alias("token"))
+    """(model, mean title vector and mean title-and-authors vector, number of profiles): all of them from all profiles."""
     n = profiles.count()
-    counted = tokens.groupBy("token").count().where("count >= 3").orderBy(F.desc("count"), "token").limit(VOCABULARY).collect()
-    sample = profiles.select("title", "people").orderBy(F.xxhash64("title", F.lit(seed)), "title").limit(SAMPLE).collect()
-    rng = np.random.default_rng(seed)
-    records = [[(t or "").split(), (p or "").split()] for t, p in sample]
-    sentences, vocabulary = walks(records, 8000, 8, rng)
-    trained = skip_gram(sentences, len(vocabulary), TRAINED, rng)
-    weight = {t: min(math.log(max(n, 2) / c), 5.0) ** 2 for t, c in counted if c <= n}
-    model = Model({t: i for i, t in enumerate(vocabulary)}, trained, weight, 25.0)
-    means = np.stack([model.vectors([r[0] for r in records]).mean(0), model.vectors([r[0] + r[1] for r in records]).mean(0)]) if records else np.zeros((2, 1), dtype=np.float32)
-    return model, means, n
+    shard = F.pmod(F.xxhash64("pid", F.lit(seed)), F.lit(max(1, -(-n // SHARD)))).cast("int").alias("shard")
+    shards = profiles.select("pid", "title", "people", shard).repartition("shard").sortWithinPartitions("shard", "pid").drop("pid")
+    columns = [f"v{i}" for i in range(TRAINED + 1)]
+    sums = shards.mapInPandas(_trainer(seed), ", ".join(f"{c} bigint" for c in ("token", *columns)))
+    told = sums.groupBy("token").agg(*[F.sum(c).alias(c) for c in columns]).where("v0 >= 2").orderBy("token").toPandas().to_numpy(dtype=np.int64)
+    count, trained = told[:, 1], told[:, 2:].astype(np.float64)
+    trained *= 0.4 / (np.linalg.norm(trained, axis=1, keepdims=True) + 1e-9)
+    weight = np.where(count >= 3, np.minimum(np.log(max(n, 2) / np.maximum(count, 1)), 5.0) ** 2, 25.0)
+    model = Model(told[:, 0].copy(), trained.astype(np.float16), weight.astype(np.float32), 25.0)
+    totals = profiles.select("title", "people").mapInPandas(_summer(model), "total array<bigint>").collect() if n else []
+    means = np.sum([r[0] for r in totals], axis=0, dtype=np.int64).reshape(2, DIMS) / FIXED / n if n else np.zeros((2, DIMS))
+    return model, means.astype(np.float32), n
 
 
 def _unit(v: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -205,22 +250,25 @@ def _people(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("common", common).withColumn("alike_people", F.coalesce(((F.col("common") > 0) & some).cast("int"), F.lit(0)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, by Newton's method with a little shrinkage."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve for values that stand n times with y of them true, by Newton's method
+    with a little shrinkage."""
     w = np.zeros(2)
-    if len(x) and 0 < y.sum() < len(y):
+    if len(x) and 0 < y.sum() < n.sum():
         a = np.stack((x, np.ones_like(x)), 1)
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            h = a.T @ (a * (p * (1 - p))[:, None]) + np.eye(2) * 1e-2
-            w = w + np.linalg.solve(h, a.T @ (y - p) - 1e-2 * w)
+            h = a.T @ (a * (n * p * (1 - p))[:, None]) + np.eye(2) * 1e-2
+            w = w + np.linalg.solve(h, a.T @ (y - n * p) - 1e-2 * w)
         return float(w[0]), float(w[1])
     return 12.0, -8.0
 
 
-def match_works(papers: DataFrame, shelf: DataFrame, bits: int | None = None) -> DataFrame:
+def match_works(papers: DataFrame, shelf: DataFrame, bits: int | None = None, confidence: bool = True) -> DataFrame:
     """(paper_id, shelf_id, cosine, confidence): rows of ``papers`` and ``shelf`` that are the same work.
 
+    Without ``confidence`` the ids alone: the rules decide, and no curve is fitted.
+
     ``papers``: paper_id, title, authors (array), doi, published_date. ``shelf``: shelf_id, title, authors (text),
     published_date. ``bits`` per table follow the number of profiles unless given. Rows of ``papers`` that share a DOI are one work: a match of one is a match of all.
     """
@@ -255,13 +303,18 @@ def match_works(papers: DataFrame, shelf: DataFrame, bits: int | None = None) ->
         .when(known, (F.col("alike_people") == 1) & (whole | F.col("contained") | (F.col("alike") >= 0.6) & F.col("overlap")) & year_ok)
         .otherwise((whole | F.col("contained") & (F.col("least") >= PLAIN)) & (F.col("strange") == 0) & ((F.col("unmatched") <= 1) | F.col("contained")) & year_ok)
     )
-    cosine = _cosine(model, means[0])(F.col("title_a"), F.col("title_b")).alias("cosine")
-    some = pairs.where(known).orderBy(F.xxhash64("pid_a", "pid_b")).limit(FIT)
-    fit = some.select(cosine, ((F.col("alike_people") == 1) & same_year).cast("int").alias("y")).collect()
-    slope, intercept = _logistic(np.array([r[0] for r in fit]), np.array([r[1] for r in fit], dtype=float))
-    good = pairs.where(accepted).select("pid_a", "pid_b", cosine).select("pid_a", "pid_b", "cosine", (1 / (1 + F.exp(-(F.col("cosine") * slope + intercept)))).alias("confidence"))
+    if confidence:
+        cosine = _cosine(model, means[0])(F.col("title_a"), F.col("title_b")).alias("cosine")
+        judged = pairs.where(known).select(F.round(cosine * CELLS).cast("int").alias("cell"), ((F.col("alike_people") == 1) & same_year).cast("int").alias("y"))
+        cells = judged.groupBy("cell").agg(F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("cell").collect()
+        slope, intercept = _logistic(*(np.array(c, dtype=float) for c in (zip(*((r[0] / CELLS, r[1], r[2]) for r in cells)) if cells else ((), (), ()))))
+        good = pairs.where(accepted).select("pid_a", "pid_b", cosine).select("pid_a", "pid_b", "cosine", (1 / (1 + F.exp(-(F.col("cosine") * slope + intercept)))).alias("confidence"))
+        out = ("cosine", "confidence")
+    else:
+        good, out = pairs.where(accepted).select("pid_a", "pid_b"), ()
     doi = papers.select(F.col("paper_id").alias("id"), bare_doi(F.col("doi")).alias("doi"))
     members = a_all.select("id", F.col("pid").alias("pid_a")).join(doi, "id", "left").withColumn("work", F.coalesce("doi", F.concat(F.lit("row "), F.col("id").cast("string"))))
-    works = good.join(members, "pid_a").groupBy("work", "pid_b").agg(F.max("cosine").alias("cosine"), F.max("confidence").alias("confidence"))
+    met = good.join(members, "pid_a")
+    works = met.groupBy("work", "pid_b").agg(*[F.max(c).alias(c) for c in out]) if out else met.select("work", "pid_b").distinct()
     rows = works.join(doi.select(F.col("id").alias("paper_id"), F.coalesce("doi", F.concat(F.lit("row "), F.col("id").cast("string"))).alias("work")), "work")
-    return rows.join(b_all.select(F.col("id").alias("shelf_id"), F.col("pid").alias("pid_b")), "pid_b").select("paper_id", "shelf_id", "cosine", "confidence")
+    return rows.join(b_all.select(F.col("id").alias("shelf_id"), F.col("pid").alias("pid_b")), "pid_b").select("paper_id", "shelf_id", *out)

@@ -20,7 +20,7 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return matching.match_works(table(spark, d, "papers"), table(spark, d, "shelf_papers")).select("paper_id", "shelf_id")
+    return matching.match_works(table(spark, d, "papers"), table(spark, d, "shelf_papers"), confidence=False)
 
 
 def p3_matches(spark: SparkSession, d: str) -> DataFrame:

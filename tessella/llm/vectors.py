@@ -2,15 +2,20 @@
 
 A walk goes from a record over one of its attributes (title, authors) to a token and on to another record that holds
 the token; the tokens it meets form a sentence, and skip-gram with negative sampling is trained on the sentences.
-The model is fitted on a bounded sample of records and has a bounded vocabulary, so it may be shipped to every
-worker; tokens outside it, such as misspelt ones, are spelt out of character n-grams, whose vectors every token has.
+Every record is walked from and every token counted. Records are trained on shard by shard, all shards from the same
+starting vectors, and a token's vector is the mean of its shards' vectors by the records that hold it there. The sums
+are whole numbers, so neither the order of the rows nor the number of tasks changes the model. A token of a single
+record leads nowhere and has the vector of its spelling alone, as misspelt ones have: character n-grams, whose vectors
+every token has.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 TRAINED, SPELT = 16, 48
@@ -18,80 +23,110 @@ DIMS = TRAINED + SPELT
 NGRAM_ROWS = 1 << 13
 
 
-def walks(records: list[list[list[str]]], n_walks: int, length: int, rng: np.random.Generator) -> tuple[list[list[int]], list[str]]:
-    """Sentences of token numbers and the tokens; ``records`` holds the token lists of each record's attributes."""
-    vocab: dict[str, int] = {}
-    of_record = [[[vocab.setdefault(t, len(vocab)) for t in attribute] for attribute in record if attribute] for record in records]
-    holds: list[list[int]] = [[] for _ in vocab]
-    for r, attributes in enumerate(of_record):
-        for attribute in attributes:
-            for t in attribute:
-                holds[t].append(r)
-    live = [r for r, a in enumerate(of_record) if a]
-    out = []
-    draw = rng.random(n_walks * (2 * length + 1)).tolist()
-    k = 0
-    for _ in range(n_walks if live else 0):
-        r, sentence = live[int(draw[k] * len(live))], []
-        k += 1
-        for _ in range(length):
-            attributes = of_record[r]
-            attribute = attributes[int(draw[k] * len(attributes))]
-            t = attribute[int((draw[k] * 7919) % 1 * len(attribute))]
-            sentence.append(t)
-            r = holds[t][int(draw[k + 1] * len(holds[t]))]
-            k += 2
-        out.append(sentence)
-    return out, list(vocab)
-
-
-def skip_gram(sentences: list[list[int]], n_tokens: int, dims: int, rng: np.random.Generator, window: int = 2, negatives: int = 3, epochs: int = 2, rate: float = 0.05, batch: int = 4096) -> np.ndarray:
-    """Input vectors of skip-gram with negative sampling, trained by mini-batches."""
-    if not sentences or not n_tokens:
-        return np.zeros((n_tokens, dims), dtype=np.float32)
-    grid = np.array(sentences)
-    pairs = np.concatenate([np.stack((a.ravel(), b.ravel()), 1) for d in range(1, window + 1) for a, b in ((grid[:, :-d], grid[:, d:]), (grid[:, d:], grid[:, :-d]))])
-    counts = np.bincount(grid.ravel(), minlength=n_tokens).astype(np.float64) ** 0.75
+def keys_of(tokens: list[str]) -> np.ndarray:
+    """The 64-bit hashes that tokens are known by."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype=np.uint64, count=len(tokens)).view(np.int64)
+
+
+def walks(tokens: np.ndarray, sizes: np.ndarray, n_walks: int, length: int, rng: np.random.Generator) -> np.ndarray:
+    """Sentences of token numbers, (n_walks, length); the walks start at the records in turn, so that each is walked from.
+
+    ``sizes`` (records, attributes) says how many of ``tokens`` are each attribute's, record by record; none is empty.
+    """
+    n, n_attributes = sizes.shape
+    start = (np.cumsum(sizes.ravel()) - sizes.ravel()).reshape(sizes.shape)
+    filled, n_filled = np.argsort(sizes == 0, axis=1, kind="stable"), (sizes > 0).sum(1)
+    holder = np.repeat(np.arange(n), sizes.sum(1))[np.argsort(tokens, kind="stable")]
+    held = np.bincount(tokens)
+    first = np.cumsum(held) - held
+    at, out = np.arange(n_walks) % n, np.empty((n_walks, length), dtype=np.int64)
+    for step in range(length):
+        draw = rng.random((3, n_walks))
+        attribute = filled[at, (draw[0] * n_filled[at]).astype(np.int64)]
+        out[:, step] = t = tokens[start[at, attribute] + (draw[1] * sizes[at, attribute]).astype(np.int64)]
+        at = holder[first[t] + (draw[2] * held[t]).astype(np.int64)]
+    return out
+
+
+def _descend(table: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+    """One step of the rows of a table; rows met more than 8 times move by eight times their mean."""
+    n, dims = table.shape
+    total = np.bincount((rows[:, None] * dims + np.arange(dims)).ravel(), weights=gradient.ravel(), minlength=n * dims).reshape(n, dims)
+    count = np.bincount(rows, minlength=n)
+    table -= total * (rate * np.minimum(count, 8) / np.maximum(count, 1))[:, None]
+
+
+def skip_gram(sentences: np.ndarray, vectors: np.ndarray, rng: np.random.Generator, window: int = 2, negatives: int = 3, epochs: int = 1, rate: float = 0.1, batch: int = 4096, group: int = 64, pool: int = 16) -> np.ndarray:
+    """Input vectors of skip-gram with negative sampling, trained by mini-batches from the given ones on.
+
+    ``group`` pairs share a pool of negatives, each of which weighs ``negatives / pool``.
+    """
+    vectors, context = vectors.astype(np.float32), np.zeros_like(vectors, dtype=np.float32)
+    pairs = np.concatenate([np.stack((a.ravel(), b.ravel()), 1) for d in range(1, window + 1) for a, b in ((sentences[:, :-d], sentences[:, d:]), (sentences[:, d:], sentences[:, :-d]))])
+    counts = np.bincount(sentences.ravel(), minlength=len(vectors)).astype(np.float64) ** 0.75
     cumulated = np.cumsum(counts / counts.sum())
-    vectors = ((rng.random((n_tokens, dims)) - 0.5)).astype(np.float32)
-    context = np.zeros((n_tokens, dims), dtype=np.float32)
+    share = np.float32(negatives / pool)
     for _ in range(epochs):
         order = rng.permutation(len(pairs))
         for at in range(0, len(order), batch):
             centre, near = pairs[order[at : at + batch]].T
-            others = np.minimum(np.searchsorted(cumulated, rng.random((len(centre), negatives))), n_tokens - 1)
-            targets = np.concatenate((near[:, None], others), 1)
-            v, c = vectors[centre], context[targets]
-            signal = 1 / (1 + np.exp(-np.clip(np.einsum("bd,bkd->bk", v, c), -8, 8)))
-            signal[:, 0] -= 1
-            for table, rows, change in ((vectors, centre, np.einsum("bk,bkd->bd", signal, c)), (context, targets.ravel(), (signal[:, :, None] * v[:, None, :]).reshape(-1, dims))):
-                total, count = np.zeros_like(table), np.bincount(rows, minlength=n_tokens)
-                np.add.at(total, rows, change.astype(np.float32))
-                table -= rate * total / np.maximum(1, count)[:, None] * np.minimum(count, 8)[:, None]  # frequent tokens move by their mean
+            n = len(centre)
+            groups = -(-n // group)
+            others = np.minimum(np.searchsorted(cumulated, rng.random((groups, pool))), len(vectors) - 1)
+            v, c, o = vectors[centre], context[near], context[others]
+            filled = np.concatenate((v, np.zeros((groups * group - n, v.shape[1]), dtype=np.float32))).reshape(groups, group, -1)
+            good = (1 / (1 + np.exp(-np.clip((v * c).sum(1), -8, 8))) - 1)[:, None]
+            bad = share / (1 + np.exp(-np.clip(filled @ o.transpose(0, 2, 1), -8, 8)))
+            change = good * c + (bad @ o).reshape(-1, v.shape[1])[:n]
+            away = (bad.transpose(0, 2, 1) @ filled).reshape(-1, v.shape[1])
+            _descend(vectors, centre, change, rate)
+            _descend(context, np.concatenate((near, others.ravel())), np.concatenate((good * v, away)), rate)
     return vectors
 
 
+def train_shard(records: list[list[list[str]]], shard: int, seed: int, least_walks: int = 8000, length: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, number of records with each, trained vectors) of the tokens of one shard of records, all walked from."""
+    sizes = np.array([[len(attribute) for attribute in record] for record in records], dtype=np.int64)
+    live = sizes.sum(1) > 0
+    flat = [t for record in records for attribute in record for t in attribute]
+    tokens, distinct = pd.factorize(np.array(flat, dtype=object))
+    keys = keys_of(distinct.tolist())
+    if not len(keys):
+        return keys, np.zeros(0, dtype=np.int64), np.zeros((0, TRAINED), dtype=np.float32)
+    of = np.repeat(np.arange(len(records)), sizes.sum(1))
+    both = np.sort(of * len(keys) + tokens)
+    held = np.bincount(both[np.flatnonzero(np.diff(both, prepend=-1))] % len(keys), minlength=len(keys))
+    rng = np.random.default_rng([seed, shard])
+    sentences = walks(tokens, sizes[live], max(least_walks, int(live.sum())), length, rng)
+    first = np.random.default_rng(seed).random((NGRAM_ROWS, TRAINED), dtype=np.float32) - np.float32(0.5)
+    return keys, held, skip_gram(sentences, first[keys % NGRAM_ROWS], rng)
+
+
+MET: dict[str, tuple[dict[str, int], np.ndarray]] = {}  # of the model last used in this process: token -> row, and the rows
+
+
 @dataclass
 class Model:
-    """Everything a worker needs to turn token lists into record vectors and hashes; its size is bounded."""
+    """Everything a worker needs to turn token lists into record vectors and hashes, 44 bytes for each token that two
+    records hold: ``keys`` in order, their trained vectors (rows of length 0.4) and their weights.
+    """
 
-    tokens: dict[str, int]
+    keys: np.ndarray
     trained: np.ndarray
-    weight: dict[str, float]
+    weight: np.ndarray
     default_weight: float
     seed: int = 17
-    known: dict[str, int] = field(default_factory=dict)
-    matrix: np.ndarray = field(default_factory=lambda: np.zeros((0, DIMS), dtype=np.float32))
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def __post_init__(self) -> None:
         rng = np.random.default_rng(self.seed)
         self.ngrams = rng.standard_normal((NGRAM_ROWS, SPELT)).astype(np.float32)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "ngrams", "matrix")}
+        return {k: v for k, v in self.__dict__.items() if k != "ngrams"}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state, known={}, matrix=np.zeros((0, DIMS), dtype=np.float32))
+        self.__dict__.update(state)
         self.__post_init__()
 
     def token_rows(self, tokens: list[str]) -> np.ndarray:
@@ -102,11 +137,12 @@ class Model:
         spelt = np.add.reduceat(self.ngrams[np.fromiter((digest(g) % NGRAM_ROWS for each in grams for g in each), dtype=np.int64, count=int(sizes.sum()))], np.cumsum(sizes) - sizes)
         spelt /= np.linalg.norm(spelt, axis=1, keepdims=True) + 1e-9
         trained = np.zeros((len(tokens), TRAINED), dtype=np.float32)
-        known = [(i, self.tokens[t]) for i, t in enumerate(tokens) if t in self.tokens]
-        if known:
-            at, row = np.array(known).T
-            trained[at] = self.trained[row] / (np.linalg.norm(self.trained[row], axis=1, keepdims=True) + 1e-9) * 0.4
-        weight = np.array([self.weight.get(t, self.default_weight) for t in tokens], dtype=np.float32)
+        weight = np.full(len(tokens), self.default_weight, dtype=np.float32)
+        if len(self.keys):
+            key = keys_of(tokens)
+            row = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[row] == key
+            trained[known], weight[known] = self.trained[row[known]], self.weight[row[known]]
         return np.concatenate((trained, spelt), 1).astype(np.float32) * weight[:, None]
 
     def vectors(self, lists: list[list[str]]) -> np.ndarray:
@@ -114,15 +150,18 @@ class Model:
         out = np.zeros((len(lists), DIMS), dtype=np.float32)
         flat = [t for tokens in lists for t in tokens]
         if flat:
-            if len(self.known) > 200_000:
-                self.known, self.matrix = {}, self.matrix[:0]
-            if new := list(set(flat).difference(self.known)):
-                self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-                self.matrix = np.concatenate((self.matrix, self.token_rows(new)))
-            rows = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+            met, matrix = MET.get(self.name, ({}, None))
+            if len(met) > 200_000:
+                met, matrix = {}, None
+            if new := list(set(flat).difference(met)):
+                met.update(zip(new, range(len(met), len(met) + len(new))))
+                matrix = self.token_rows(new) if matrix is None else np.concatenate((matrix, self.token_rows(new)))
+                MET.clear()
+                MET[self.name] = met, matrix
+            rows = np.fromiter(map(met.__getitem__, flat), dtype=np.int64, count=len(flat))
             sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
             full = np.flatnonzero(sizes)
-            out[full] = np.add.reduceat(self.matrix[rows], (np.cumsum(sizes) - sizes)[full])
+            out[full] = np.add.reduceat(matrix[rows], (np.cumsum(sizes) - sizes)[full])
             out /= np.linalg.norm(out, axis=1, keepdims=True) + 1e-9
         return out
 

@@ -206,6 +206,30 @@ def test_blocking_finds_what_all_pairs_would(spark, monkeypatch):
     assert all(f <= want and len(f) >= 0.95 * len(want) for f in found.values())
 
 
+def test_the_model_comes_from_all_profiles(spark):
+    """More profiles than one shard: every token that two of them hold is trained, whatever the order and the tasks."""
+    import numpy as np
+    from tessella.llm.vectors import TRAINED
+
+    rows = spark.range(9000).selectExpr("id pid", "concat('common title number n', id div 2) title", "if(id % 3 = 0, concat('name', id % 100), null) people")
+    one, means, n = matching.fit_model(rows.repartition(1))
+    assert n == 9000
+    assert all(np.any(one.token_rows([f"n{i}"])[0, :TRAINED]) for i in range(4500))
+    assert not np.any(one.token_rows(["n4500"])[0, :TRAINED])
+    other, same, _ = matching.fit_model(rows.orderBy("title").repartition(7))
+    assert np.array_equal(one.trained, other.trained) and np.array_equal(one.weight, other.weight) and np.array_equal(means, same)
+    every = np.mean([one.vectors([f"common title number n{i // 2}".split() for i in range(k, k + 1000)]).mean(0) for k in range(0, 9000, 1000)], axis=0)
+    assert np.allclose(means[0], every, atol=1e-5)
+
+
+def test_the_curve_counts_every_pair():
+    import numpy as np
+
+    x, y, n = np.array([0.2, 0.6, 0.9]), np.array([1.0, 30_000.0, 50_000.0]), np.array([40_000.0, 60_000.0, 51_000.0])
+    slope, intercept = matching._logistic(x, y, n)
+    assert np.allclose(1 / (1 + np.exp(-(slope * x + intercept))) @ n, y.sum(), rtol=1e-3)
+
+
 def test_works_of_one_hot_title(spark):
     """A third of all papers have one title and differ in authors only."""
     rows = [(i, "Weighted hashing of tables with Zofira graphs for rural optics" if i % 3 == 0 else f"Robust voting of maps number {i * 7919} for banking", [f"Ann Name{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}son"], None, None, "ieee", "2019", 1, None, None) for i in range(900)]
