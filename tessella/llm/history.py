@@ -29,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ CHUNK_SCHEMA = "paper bigint, field tinyint, chunk bigint, bytes int, size int,
 HELD_CHUNKS = "chunk bigint, field tinyint, paper bigint, root bigint, size int, bare boolean"
 CHUNKS_EACH = 1 << 19  # rows of a folder of the chunk table
 SAID = ("doi", "names", "day", "title", "part")
+LOCAL_EDGES = 100_000  # links of a batch, 16 bytes each, that the driver puts together
 BROADCAST_ROWS = 200_000  # chunks or pairs of a batch, some 100 bytes each: what has more rows is joined by shuffle
 
 
@@ -285,6 +287,31 @@ def components(edges: DataFrame) -> tuple[DataFrame, int]:
         labels, rounds = durable(labels.join(lower, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"), rounds + 1
 
 
+def linked(edges: DataFrame) -> DataFrame:
+    """(node, label) as of ``components``. Up to LOCAL_EDGES edges are linked by the driver, which spares a batch dozens
+    of small jobs; more of them are linked by joins.
+    """
+    few = edges.limit(LOCAL_EDGES + 1).toArrow()
+    if few.num_rows > LOCAL_EDGES:
+        return components(durable(edges, "edges"))[0]
+    least: dict[int, int] = {}
+
+    def root(node: int) -> int:
+        top = node
+        while (up := least.setdefault(top, top)) != top:
+            top = up
+        while node != top:
+            least[node], node = top, least[node]
+        return top
+
+    for x, y in zip(few["x"].to_pylist(), few["y"].to_pylist()):
+        a, b = root(x), root(y)
+        least[max(a, b)] = min(a, b)
+    nodes = list(least)
+    table = pa.table({"node": pa.array(nodes, pa.int64()), "label": pa.array([root(n) for n in nodes], pa.int64())})
+    return edges.sparkSession.createDataFrame(table, "node bigint, label bigint")
+
+
 def guesses(judged: DataFrame, sure: DataFrame, known: DataFrame) -> DataFrame:
     """(x, y): links of papers that have only their title to the one work that fits best.
 
@@ -317,9 +344,8 @@ def _settle(own: DataFrame, own_chunks: DataFrame, index: Index | None, buckets:
     fields = [f.split()[0] for f in PAPER_SCHEMA.split(", ")]
     known = own.select(*fields, F.lit(None).cast("bigint").alias("root"))
     judged = durable(judge(pairs, own, known if looked is None else known.unionByName(looked.select(*known.columns)), few), "judged")
-    sure, _ = components(judged.where("sure").select(F.col("paper_a").alias("x"), F.coalesce("root_b", "paper_b").alias("y")))
-    guess = durable(guesses(judged, sure, own.select(*fields, F.lit(None).cast("bigint").alias("root")).limit(0) if looked is None else looked), "guesses")
-    more, _ = components(guess)
+    sure = linked(judged.where("sure").select(F.col("paper_a").alias("x"), F.coalesce("root_b", "paper_b").alias("y")))
+    more = linked(guesses(judged, sure, own.select(*fields, F.lit(None).cast("bigint").alias("root")).limit(0) if looked is None else looked))
     first = own.join(sure.withColumnRenamed("node", "paper"), "paper", "left").withColumn("label", F.coalesce("label", "paper"))
     return first.join(more.select(F.col("node").alias("label"), F.col("label").alias("less")), "label", "left").withColumn("root", F.coalesce("less", "label")).drop("label", "less"), looked
 

@@ -258,3 +258,17 @@ def test_links_settle_over_any_number_of_steps(spark):
     labels, rounds = history.components(chain)
     assert {r["node"]: r["label"] for r in labels.collect()} == {**{i: 1 for i in range(1, 41)}, 100: 90, 90: 90, 95: 90}
     assert rounds <= 12
+
+
+def test_links_settle_alike_on_the_driver_and_by_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(400), 1000 - rng.randrange(400)) for _ in range(250)] + [(i + 2000, i + 2001) for i in range(30)], "x bigint, y bigint")
+    got = lambda: sorted(tuple(r) for r in history.linked(edges).collect())
+    here = got()
+    joins = []
+    components = history.components
+    monkeypatch.setattr(history, "components", lambda e: joins.append(1) or components(e))
+    assert got() == here and not joins
+    monkeypatch.setattr(history, "LOCAL_EDGES", 0)
+    assert got() == here and joins
+    assert history.linked(edges.limit(0)).count() == 0
