@@ -13,7 +13,8 @@ hashed once; bits per table follow the number of profiles, so the bucket size st
 multiplied out in one task; the probing side's profiles are broadcast while they weigh BROADCAST_BYTES at most and
 joined by shuffle beyond. The model is fitted on all profiles, shard by shard, and its token counts, the mean vectors
 and the curve come from all of them: the curve's pairs are counted in cells of their cosine, CELLS to one. What reaches
-the driver are the vectors of tokens that two profiles hold, one sum of each task and the cells.
+the driver are the vectors of tokens that two profiles hold, one sum of each task and the cells. Each step's shuffle
+files are removed once its result is written or collected, so the disk holds one step's shuffles, not all of them.
 
 Null or empty titles match nothing. Null authors or dates are missing evidence and contradict nothing; then the
 titles must agree word for word but for misspellings and words left out. Repeated rows all count.
@@ -35,7 +36,7 @@ from tessella.llm.history import part_number
 from tessella.llm.survivors import bare_doi
 from tessella.llm.vectors import DIMS, TRAINED, Hyperplanes, Model, train_shard
 from tessella.operators.timestamps import ZoneTables, utc_micros
-from tessella.session import durable
+from tessella.session import durable, shuffles_freed
 
 SHARD = 8192  # profiles trained on together, by the hash of their ids
 FIXED = 1 << 20  # sums are kept in these parts of one
@@ -276,21 +277,22 @@ def match_works(papers: DataFrame, shelf: DataFrame, bits: int | None = None, co
     day = utc_micros(F.col("published_date"), F.lit("UTC"), F.lit("dmy"), zones).alias("micros")
     a_rows = papers.select(F.col("paper_id").alias("id"), "title", "authors", day)
     b_rows = shelf.select(F.col("shelf_id").alias("id"), "title", "authors", day)
-    a_all = _rows(a_rows, F.array_join("authors", " "), plain_words(F.array_join(F.array_distinct(F.transform("authors", _last_name)), " ")))
-    b_all = _rows(b_rows, F.col("authors"), F.lit(None).cast("string"))
-    a, b = _distinct(a_all), _distinct(b_all)
-    model, means, n = fit_model(a)
-    bits = bits or max(4, min(36, round(math.log2(max(n, 2))) - 6))
-    ha, hb = (p.select("pid", "title", "head", "tail", "people", "year").mapInPandas(_hasher(model, means, bits, probe), HASH_SCHEMA) for p, probe in ((a, False), (b, True)))
-    ha = ha.select(F.col("pid").alias("pid_a"), "bucket", F.col("s0").alias("a0"), F.col("s1").alias("a1"), F.col("year").alias("year_a"))
-    hb = hb.select(F.col("pid").alias("pid_b"), "bucket", F.col("s0").alias("b0"), F.col("s1").alias("b1"), F.col("year").alias("year_b"))
-    near = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= SKETCH_DISTANCE
-    blocked = ha.join(hb, "bucket").where(_years_allow() & near).select("pid_a", "pid_b").repartition("pid_a").distinct()
-    sa, sb = _profiles(a, "a"), _profiles(b, "b")
-    weight = sb.agg(F.coalesce(F.sum(F.length("title_b") + F.coalesce(F.length("people_b"), F.lit(0)) + 80), F.lit(0))).first()[0]
-    pairs = _people(_features(blocked.join(sa, "pid_a").join(F.broadcast(sb) if weight <= BROADCAST_BYTES else sb, "pid_b")))
-    # written once, before anything is asked of the features: a filter pushed below them would work them out again
-    pairs = durable(pairs.select("pid_a", "pid_b", "title_a", "title_b", "year_a", "year_b", "part_a", "part_b", "alike", "overlap", "contained", "least", "strange", "unmatched", "words", "common", "alike_people"), "pairs")
+    with shuffles_freed(papers.sparkSession):
+        a_all = _rows(a_rows, F.array_join("authors", " "), plain_words(F.array_join(F.array_distinct(F.transform("authors", _last_name)), " ")))
+        b_all = _rows(b_rows, F.col("authors"), F.lit(None).cast("string"))
+        a, b = _distinct(a_all), _distinct(b_all)
+        model, means, n = fit_model(a)
+        bits = bits or max(4, min(36, round(math.log2(max(n, 2))) - 6))
+        ha, hb = (p.select("pid", "title", "head", "tail", "people", "year").mapInPandas(_hasher(model, means, bits, probe), HASH_SCHEMA) for p, probe in ((a, False), (b, True)))
+        ha = ha.select(F.col("pid").alias("pid_a"), "bucket", F.col("s0").alias("a0"), F.col("s1").alias("a1"), F.col("year").alias("year_a"))
+        hb = hb.select(F.col("pid").alias("pid_b"), "bucket", F.col("s0").alias("b0"), F.col("s1").alias("b1"), F.col("year").alias("year_b"))
+        near = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= SKETCH_DISTANCE
+        blocked = ha.join(hb, "bucket").where(_years_allow() & near).select("pid_a", "pid_b").repartition("pid_a").distinct()
+        sa, sb = _profiles(a, "a"), _profiles(b, "b")
+        weight = sb.agg(F.coalesce(F.sum(F.length("title_b") + F.coalesce(F.length("people_b"), F.lit(0)) + 80), F.lit(0))).first()[0]
+        pairs = _people(_features(blocked.join(sa, "pid_a").join(F.broadcast(sb) if weight <= BROADCAST_BYTES else sb, "pid_b")))
+        # written once, before anything is asked of the features: a filter pushed below them would work them out again
+        pairs = durable(pairs.select("pid_a", "pid_b", "title_a", "title_b", "year_a", "year_b", "part_a", "part_b", "alike", "overlap", "contained", "least", "strange", "unmatched", "words", "common", "alike_people"), "pairs")
     known, apart = F.col("common").isNotNull(), F.abs(F.col("year_a") - F.col("year_b"))
     year_ok, same_year = F.coalesce(apart <= 1, F.lit(True)), F.coalesce(apart == 0, F.lit(True))
     part_clash = F.coalesce(F.col("part_a") != F.col("part_b"), F.lit(False))

@@ -239,6 +239,26 @@ def test_works_of_one_hot_title(spark):
     assert {(i, i) for i in range(0, 90, 3)} <= got
 
 
+def test_matching_frees_its_shuffles(spark):
+    """Each step's shuffle files go with the step: once the pairs are written, the disk holds none of them."""
+    import time
+    from pathlib import Path
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*")}
+    p = spark.createDataFrame([(i, f"Weighted hashing of {i * 7919} tables for rural optics", [f"Ann Name{i}"], None, None, "ieee", "2019", 1, None, None) for i in range(300)], PAPERS)
+    s = spark.createDataFrame([(i, f"weighted hashing of {i * 7919} tables for rural optics", f"A. Name{i}", None, "2019") for i in range(0, 300, 3)], SHELF)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held, setting = files(), spark.conf.get(key)
+    got = matching.match_works(p, s, confidence=False)
+    for _ in range(20):
+        if not (left := files() - held):
+            break
+        time.sleep(0.25)
+    assert not left and spark.conf.get(key) == setting
+    assert {(i, i) for i in range(0, 300, 3)} <= {tuple(r) for r in got.collect()} == {tuple(r) for r in got.collect()}
+
+
 def test_a_look_up_reads_what_the_batch_needs(spark):
     """Twice the history, the same batch: the rows read stay where they are."""
     record = lambda i: _record(i, f"doi:10.1234/w{i * 7919}", f"Title {i * 104729} about things {i * 1299709} and more", f"10.1234/w{i * 7919}", [f"Ann Name{i}"], f"20{10 + i % 10}-0{1 + i % 9}-1{i % 10}")
